@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataleaf.operators.hierarchy import descendants, node_hierarchy
 from strataleaf.operators.history import version_periods
 from strataleaf.operators.intervals import version_spans
 from strataleaf.operators.orphans import orphan_references, orphans_by_period
@@ -37,4 +38,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return version_spans(table(spark, d, "node_versions"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_current, p2_found, p2_report, p3_found)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return node_hierarchy(table(spark, d, "apex_ast_nodes"))
+
+
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    return node_hierarchy(table(spark, d, "apex_ast_nodes"), with_paths=True).select("node_id", F.array_join("path", "/").alias("path"))
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return descendants(node_hierarchy(table(spark, d, "apex_ast_nodes"), with_paths=True))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_current, p2_found, p2_report, p3_found, p5_found, p5_paths, p5_descendants)}
