@@ -50,8 +50,9 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], folder: str, name: str) -
 
 
 def _ends(pat, text: str, lo: int, hi: int) -> list[int]:
-    """Ends of pre-tokens of ``text`` in [lo, hi)."""
-    return [e for m in pat.finditer(text) if lo <= (e := m.end()) < hi]
+    """Ends of pre-tokens of ``text`` in [lo, hi), but for those after white space: the pattern looks one
+    character past white space, so a piece that ended there would be split otherwise than within its text."""
+    return [e for m in pat.finditer(text) if lo <= (e := m.end()) < hi and not text[e - 1].isspace()]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], folder: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
