@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataleaf.llm.encoding import encode_corpus
 from strataleaf.llm.leakage import leaked_documents
+from strataleaf.llm.spans import shared_chars, shared_spans
 from strataleaf.sources.tables import table
 
 
@@ -17,5 +18,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_chars(shared_spans(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p9_found)}
 SQL: dict[str, str] = {}
