@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataleaf.llm.encoding import encode_corpus
 from strataleaf.llm.leakage import leaked_documents
+from strataleaf.llm.nearcopies import near_copies
 from strataleaf.llm.spans import shared_chars, shared_spans
 from strataleaf.llm.splitting import split_nodes
 from strataleaf.sources.tables import table
@@ -15,6 +16,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return split_nodes(table(spark, d, "apex_ast_nodes"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_copies(table(spark, d, "node_versions"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -27,5 +32,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_chars(shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_ids, p8_found, p9_found)}
 SQL: dict[str, str] = {}
