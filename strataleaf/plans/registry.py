@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from strataleaf.plans import core_problems, core_sql
+from strataleaf.plans import core_problems, core_sql, q_facts
+
+_MODULES = (q_facts,)
 
 QUERIES = {**core_problems.QUERIES}
 SQL: dict[str, str] = {**core_sql.SQL}
+for _m in _MODULES:
+    if twice := QUERIES.keys() & _m.query.queries.keys():
+        raise ValueError(f"queries stand twice: {twice}")
+    QUERIES |= _m.query.queries
+    SQL |= _m.query.sql
