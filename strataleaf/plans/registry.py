@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataleaf.plans import core_problems, core_sql, q_facts
+from strataleaf.plans import core_problems, core_sql, q_facts, q_nodes, q_stats
 
-_MODULES = (q_facts,)
+_MODULES = (q_facts, q_nodes, q_stats)
 
 QUERIES = {**core_problems.QUERIES}
 SQL: dict[str, str] = {**core_sql.SQL}
