@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -43,11 +44,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, so a lost executor
-    costs a re-read and not a recomputation. The folder of this process is removed when it ends."""
+    costs a re-read and not a recomputation, and the shuffle files of what was written go at once. The folder of this process is removed when it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strataleaf-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.parquet(path)
+    old = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if old is None else spark.conf.set(_CLEAN, old)
     _MADE.append(path)
     return spark.read.schema(schema).parquet(path)
 
