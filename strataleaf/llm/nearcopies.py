@@ -18,7 +18,7 @@ from strataleaf.session import materialise
 #: Likeness is at least TENTHS/10; words in a shingle; words a text needs.
 TENTHS, SHINGLE, MIN_WORDS = 7, 3, 20
 #: Cells of the frequency table; rows of a bucket from which it is cut into blocks of about that size.
-CELLS, HOT = 1 << 16, 50_000
+CELLS, HOT = 1 << 20, 50_000
 
 
 class _Numbers(dict):
@@ -222,10 +222,10 @@ def alike_sets(sets: DataFrame, tenths: int = TENTHS, hot: int = HOT) -> DataFra
     different components that sizes and masks allow are verified: no pair is lost, and none within a component
     is looked at. Buckets over ``hot`` rows are cut into blocks; the blocks' first rows are linked with each
     other, and in the second step each two blocks meet in a bucket of their own."""
-    cells = sets.select(F.explode("bits").alias("b")).groupBy(F.col("b").bitwiseAND(F.lit(CELLS - 1)).alias("c")).count().collect()
-    cost = np.zeros(CELLS, np.int64)
-    for r in cells:
-        cost[r["c"]] = r["count"]
+    cells = sets.select(F.explode("bits").alias("b")).groupBy(F.col("b").bitwiseAND(F.lit(CELLS - 1)).alias("c")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    cells = cells.toArrow()
+    cost = np.zeros(CELLS, np.int32)
+    cost[cells["c"].to_numpy()] = cells["n"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(cost)
 
     def signatures(rows: DataFrame) -> DataFrame:
