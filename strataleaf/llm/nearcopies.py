@@ -90,8 +90,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], cost: np.ndarray, tenths: int
         order = np.lexsort((bits, price, own))
         rank = np.arange(len(bits)) - np.repeat(np.cumsum(n) - n, n)
         take = order[rank < (n - (tenths * n + 9) // 10 + 1)[own]]
-        mask = np.zeros(len(n), np.uint64)
-        np.bitwise_or.at(mask, own, np.uint64(1) << _mix(bits.view(np.uint32).astype(np.uint64)) % np.uint64(64))
+        masks = np.zeros((len(n), 2), np.uint64)
+        place = _mix(bits.view(np.uint32).astype(np.uint64)) % np.uint64(128)
+        np.bitwise_or.at(masks, (own, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
         at = own[take]
         yield pa.RecordBatch.from_arrays(
             [
@@ -99,17 +100,17 @@ def _signatures(batches: Iterator[pa.RecordBatch], cost: np.ndarray, tenths: int
                 pa.array(b.column(0).to_numpy()[at]),
                 pa.array(b.column(1).to_numpy()[at]),
                 pa.array(n[at].astype(np.int32)),
-                pa.array(mask.view(np.int64)[at]),
+                *(pa.array(np.ascontiguousarray(masks[:, w]).view(np.int64)[at]) for w in (0, 1)),
                 pa.array(price[take].astype(np.int64)),
             ],
-            names=["bit", "set_id", "component", "n", "mask", "price"],
+            names=["bit", "set_id", "component", "n", "mask", "mask2", "price"],
         )
 
 
-def _may_be_alike(n: np.ndarray, mask: np.ndarray, i: np.ndarray, j: np.ndarray, tenths: int) -> np.ndarray:
-    """Sizes and 64-bit masks allow the likeness: bits that differ are at most what sets so alike can differ in."""
+def _may_be_alike(n: np.ndarray, mask: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, tenths: int) -> np.ndarray:
+    """Sizes and 128-bit masks allow the likeness: bits that differ are at most what sets so alike can differ in."""
     a, b = n[i], n[j]
-    differ = np.bitwise_count(mask[i] ^ mask[j]).astype(np.int64)
+    differ = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in mask)
     return (10 * np.minimum(a, b) >= tenths * np.maximum(a, b)) & ((10 + tenths) * differ <= (10 - tenths) * (a + b))
 
 
@@ -148,8 +149,8 @@ def _pairs(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 def _linked(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.RecordBatch]:
     """Each row of a bucket with the bucket's first and the two rows before it, if they may be alike."""
     for t, s in _bucket_batches(batches, 2):
-        ids, n, mask = (t[c].to_numpy() for c in ("set_id", "n", "mask"))
-        mask, at = mask.view(np.uint64), np.arange(t.num_rows)
+        ids, n, *mask = (t[c].to_numpy() for c in ("set_id", "n", "mask", "mask2"))
+        mask, at = tuple(m.view(np.uint64) for m in mask), np.arange(t.num_rows)
         first = np.repeat(s, np.diff(np.append(s, t.num_rows)))
         i = np.concatenate([at, at, at])
         j = np.concatenate([first, np.maximum(at - 1, first), np.maximum(at - 2, first)])
@@ -163,8 +164,8 @@ def _crossing(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Rec
     """All pairs of a bucket that lie in different components and may be alike. In a bucket of two blocks
     (``part`` 0 and 1) only pairs across them."""
     for t, s in _bucket_batches(batches, 3):
-        ids, comp, n, mask, part = (t[c].to_numpy() for c in ("set_id", "component", "n", "mask", "part"))
-        mask = mask.view(np.uint64)
+        ids, comp, n, part, *mask = (t[c].to_numpy() for c in ("set_id", "component", "n", "part", "mask", "mask2"))
+        mask = tuple(m.view(np.uint64) for m in mask)
         size = np.diff(np.append(s, t.num_rows))
         own = np.repeat(np.arange(len(s)), size)
         varied = np.minimum.reduceat(comp, s) != np.maximum.reduceat(comp, s)
@@ -196,7 +197,7 @@ def _crossing(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Rec
         yield _pairs(ids, np.concatenate(left), np.concatenate(right))
 
 
-_SIGNATURE = "bit int, set_id long, component long, n int, mask long, price long"
+_SIGNATURE = "bit int, set_id long, component long, n int, mask long, mask2 long, price long"
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
@@ -242,28 +243,28 @@ def alike_sets(sets: DataFrame, tenths: int = TENTHS, hot: int = HOT) -> DataFra
         rows = rows.join(heavy, "bit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         return rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
 
-    placed = in_blocks(rows).select("bit", "block", "blocks", "set_id", "n", "mask")
+    placed = in_blocks(rows).select("bit", "block", "blocks", "set_id", "n", "mask", "mask2")
     if any_heavy:
-        one = placed.filter("blocks > 1").groupBy("bit", "block").agg(F.min(F.struct("set_id", "n", "mask")).alias("f"))
+        one = placed.filter("blocks > 1").groupBy("bit", "block").agg(F.min(F.struct("set_id", "n", "mask", "mask2")).alias("f"))
         placed = placed.unionByName(one.select("bit", F.lit(-1).alias("block"), F.lit(1).alias("blocks"), "f.*"))
     buckets = placed.drop("blocks").repartition("bit", "block").sortWithinPartitions("bit", "block", "set_id")
-    pairs = buckets.mapInArrow(lambda it: _linked(it, tenths), "u long, v long").distinct()
+    pairs = materialise(buckets.mapInArrow(lambda it: _linked(it, tenths), "u long, v long").distinct(), "pairs")
     links = materialise(_alike(pairs, sets, tenths), "links")
 
     label = components(links).withColumnRenamed("node", "set_id")
     label = materialise(label, "labels")
     rows = signatures(sets.join(label, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
-    placed = in_blocks(rows).select("bit", "block", "blocks", "set_id", "component", "n", "mask")
-    whole = placed.filter("blocks = 1").select("bit", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "set_id", "component", "n", "mask")
+    placed = in_blocks(rows).select("bit", "block", "blocks", "set_id", "component", "n", "mask", "mask2")
+    whole = placed.filter("blocks = 1").select("bit", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "set_id", "component", "n", "mask", "mask2")
     if any_heavy:
         parted = placed.filter("blocks > 1")
         varied = parted.groupBy("bit").agg(F.min("component").alias("a"), F.max("component").alias("z")).filter("a <> z").select("bit")
         parted = parted.join(varied, "bit", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         x, y = F.least("block", "other"), F.greatest("block", "other")
         part = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
-        whole = whole.unionByName(parted.select("bit", x.alias("x"), y.alias("y"), part.alias("part"), "set_id", "component", "n", "mask"))
+        whole = whole.unionByName(parted.select("bit", x.alias("x"), y.alias("y"), part.alias("part"), "set_id", "component", "n", "mask", "mask2"))
     buckets = whole.repartition("bit", "x", "y").sortWithinPartitions("bit", "x", "y")
-    pairs = buckets.mapInArrow(lambda it: _crossing(it, tenths), "u long, v long").distinct()
+    pairs = materialise(buckets.mapInArrow(lambda it: _crossing(it, tenths), "u long, v long").distinct(), "pairs")
     more = materialise(_alike(pairs, sets, tenths), "crossing")
     if more.isEmpty():
         return label.withColumnRenamed("set_id", "node")
