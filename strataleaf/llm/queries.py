@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strataleaf.llm.encoding import encode_corpus
 from strataleaf.llm.leakage import leaked_documents
 from strataleaf.llm.nearcopies import near_copies
-from strataleaf.llm.spans import shared_chars, shared_spans
+from strataleaf.llm.spans import sentence_spans, shared_chars, shared_spans
 from strataleaf.llm.splitting import split_nodes
 from strataleaf.sources.tables import table
 
@@ -32,5 +32,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_chars(shared_spans(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_ids, p8_found, p9_found)}
+def p9_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_spans(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_ids, p8_found, p9_found, p9_sentence_spans)}
 SQL: dict[str, str] = {}

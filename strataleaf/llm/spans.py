@@ -208,3 +208,40 @@ def shared_chars(spans: DataFrame) -> DataFrame:
     edge = spans.groupBy("doc_id", "lo").agg(F.max("hi").alias("hi")).withColumn("reach", F.coalesce(F.max("hi").over(before), F.lit(0)))
     new = F.greatest(F.col("hi") - F.greatest("lo", "reach"), F.lit(0)).cast("long")
     return edge.groupBy("doc_id").agg(F.sum(new).alias("shared_chars"))
+
+
+def _sentence_runs(batches: Iterator[pa.RecordBatch], several: int) -> Iterator[pa.RecordBatch]:
+    import re
+
+    import xxhash
+
+    pat = re.compile(r"[^.!?。\n]+[.!?。]*")
+    for b in batches:
+        docs, nos, sizes, hashes = [], [], [], []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parts = [x for m in pat.finditer(text) if (x := m.group().strip())]
+            for no in range(max(1, len(parts) - several + 1) if parts else 0):
+                run = parts[no : no + several]
+                docs.append(doc)
+                nos.append(no)
+                sizes.append(len(parts))
+                hashes.append(xxhash.xxh64_intdigest("\x00".join(run)) - (1 << 63) if len(run) == several else None)
+        cols = (docs, pa.int64()), (nos, pa.int32()), (sizes, pa.int32()), (hashes, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in cols], names=["doc_id", "no", "n_sentences", "hash"])
+
+
+def sentence_spans(docs: DataFrame, several: int = 3) -> DataFrame:
+    """(doc_id, n_sentences, n_repeated): sentences of each document, and those that a run of ``several``
+    sentences covers which also stands earlier (in a document with a lesser id, or before in the same).
+
+    Sentences end at ``.``, ``!``, ``?``, ``。`` or a line's end and compare without blanks around. Texts with fewer
+    sentences have none repeated; null texts, null ids and texts without sentences have no row. A run's first place
+    is found map-side, so a run in a third of all documents is one row a task."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    runs = materialise(docs.mapInArrow(lambda it: _sentence_runs(it, several), "doc_id long, no int, n_sentences int, hash long"), "runs")
+    first = runs.filter("hash is not null").groupBy("hash").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    later = runs.join(first, "hash").filter(F.struct("doc_id", "no") != F.col("first"))
+    covered = later.select("doc_id", F.explode(F.sequence(F.col("no"), F.col("no") + several - 1)).alias("s")).distinct()
+    covered = covered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_repeated"))
+    sizes = runs.groupBy("doc_id").agg(F.max("n_sentences").cast("long").alias("n_sentences"))
+    return sizes.join(covered, "doc_id", "left").select("doc_id", "n_sentences", F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"))
