@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataleaf.llm import sql
 from strataleaf.llm.encoding import encode_corpus
 from strataleaf.llm.leakage import leaked_documents
 from strataleaf.llm.nearcopies import near_copies
@@ -37,4 +38,4 @@ def p9_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_ids, p8_found, p9_found, p9_sentence_spans)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**sql.SQL}

@@ -190,3 +190,15 @@ def test_queries_of_the_whole_tables(spark):
         pytest.skip("no test tables")
     for f in queries.QUERIES.values():
         assert f(spark, d).count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_twin(spark, name):
+    from pathlib import Path
+
+    from tests.oracle import differences
+
+    d = "/root/testdata/sf0.001"
+    if not Path(d).exists():
+        pytest.skip("no test tables")
+    assert not differences(queries.QUERIES[name](spark, d), queries.SQL[name], d)
