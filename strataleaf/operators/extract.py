@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
+_FORM = "Corporation|Corp|Inc|LLC|Ltd|PLC|GmbH|SA|NV|AG|Co|Group"
 # What the extractors look for, by kind: pattern, and the groups of subject and object.
 PATTERNS: dict[str, tuple[str, int, int]] = {
     "regulation": (r"(?i)\b(GDPR|HIPAA|SOX|PCI|DSS|ISO\s*\d+|FASB|IFRS|GAAP|ESG|KYC|AML|CCPA|ADA|OSHA|EPA)\b", 1, 1),
@@ -17,6 +18,11 @@ PATTERNS: dict[str, tuple[str, int, int]] = {
     "cross_reference": (r"(?i)(?:see|cf\.|refer\s+to|as\s+mentioned\s+in|per|vide)\s+((?:§|Section|Sec\.|Chapter|Ch\.|Appendix|Fig\.|Table|Figure)\s*\d+(?:\.\d+)*)", 1, 1),
     "citation": (r"\(([A-Z][a-zA-Z]+(?:\s+et\s+al\.?)?),\s*(\d{4})\)", 1, 2),
     "metric_word": (r"(?i)\b(Revenue|Profit|Margin|EPS|EBITDA|Net\sIncome|Operating\sIncome|Gross\sMargin|Growth|Cost|Expense|Tax|Dividend|Yield)\b", 1, 1),
+    "organization": (rf"\b([A-Z][a-zA-Z]+(?:\s(?!(?:{_FORM})\b)[A-Z][a-zA-Z]+)*)\s+({_FORM})\b", 1, 2),
+    "product": (r"\b([A-Z][a-zA-Z]+(?:[A-Z][a-z]+)+|\w*(?:Widget|Tool|System|Platform|Suite|Engine))\b", 1, 1),
+    "event": (rf"(?i)(?:on|in|during)\s+(\d{{4}}-\d{{2}}-\d{{2}}|Q[1-4]\s+\d{{4}}|(?:{_MONTH})\s+\d{{1,2}},?\s+\d{{4}})\s*,?\s*(.{{5,150}}?)(?:\.|;|$)", 1, 2),
+    "contract_term": (r"(?i)(Term|Duration|Period|Payment|Notice|Cancellation)\s*[:=]?\s*(.{5,100}?)(?:\.|;|$)", 1, 2),
+    "metric": (r"(?i)([A-Za-z\s]{2,40}?)\s*(?:is|was|were|:|=)\s*([₹$€£¥]?\s*[\d,]+\.?\d*\s*[kKmMbBtT%]?)", 1, 2),
     "currency": (r"\$[\d,]+(?:\.\d+)?", 0, 0),
     "percentage": (r"\d+\.?\d*\%", 0, 0),
     "quarter": (r"(?i)\b(Q[1-4])\b", 1, 1),
