@@ -49,15 +49,12 @@ def page(facts: DataFrame, by: tuple[str, ...], limit: int, offset: int = 0, new
 
 
 def newest_per_subject(facts: DataFrame) -> DataFrame:
-    """One row per subject, the fact created last (tie: the least fact_id), with version_count. The maximum is
-    built map-side, so a subject with any number of facts is one row a task."""
-    rest = [c for c in facts.columns if c not in (*SUBJECT, "created_at", "fact_id")]
-
-    last = facts.groupBy(*SUBJECT).agg(F.max("created_at").alias("created_at"), F.count(F.lit(1)).alias("version_count"))
-    hit = facts.join(last, [*SUBJECT, "created_at"])
-    return hit.groupBy(*SUBJECT, "created_at", "version_count").agg(F.min_by(F.struct("fact_id", *rest), "fact_id").alias("f")).select(
-        *SUBJECT, "created_at", "version_count", "f.*"
-    )
+    """One row per subject, the fact created last (tie: the least fact_id; a null created_at is the earliest), with
+    version_count: one aggregation, built map-side, so a subject with any number of facts is one row a task."""
+    rest = [c for c in facts.columns if c not in SUBJECT]
+    ago = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1))
+    best = F.min_by(F.struct(*rest), F.struct(ago, "fact_id"))
+    return facts.groupBy(*SUBJECT).agg(best.alias("f"), F.count(F.lit(1)).alias("version_count")).select(*SUBJECT, "version_count", "f.*")
 
 
 def state_at(facts: DataFrame, t: str | Column) -> DataFrame:
