@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.llm.words import words
+from strataleaf.llm.words import word_pattern, words
 
 #: Words in a row that make a leak; characters of evaluation text up to which the automaton is sent to all tasks.
 MIN_WORDS, MAX_EVAL_CHARS = 12, 50_000_000
@@ -134,6 +134,15 @@ class LeakFinder:
         return [self.ids[k] for k in range(bits.bit_length()) if bits >> k & 1]
 
 
+def _finder(items: DataFrame, least: int, max_eval_chars: int):
+    """The finder of all items, sent to the tasks; the items' size is checked first."""
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > max_eval_chars:
+        raise ValueError(f"{size} characters of evaluation text; the automaton takes {max_eval_chars}")
+    rows = items.select(F.col("item_id").cast("long"), "text").distinct().collect()
+    return items.sparkSession.sparkContext.broadcast(LeakFinder([(r[0], r[1]) for r in rows], least))
+
+
 def leaked_documents(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS, max_eval_chars: int = MAX_EVAL_CHARS) -> DataFrame:
     """(doc_id, item_id): documents that have at least ``least`` words in a row in common with the item's text.
 
@@ -143,11 +152,7 @@ def leaked_documents(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS,
 
     The items are held-out material of fixed size, gathered on the driver: more than ``max_eval_chars``
     characters raise ValueError before anything is gathered; split such a set and take the union."""
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > max_eval_chars:
-        raise ValueError(f"{size} characters of evaluation text; the automaton takes {max_eval_chars}")
-    rows = items.select(F.col("item_id").cast("long"), "text").distinct().collect()
-    finder = docs.sparkSession.sparkContext.broadcast(LeakFinder([(r[0], r[1]) for r in rows], least))
+    finder = _finder(items, least, max_eval_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = finder.value
@@ -163,13 +168,10 @@ def leaked_documents(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS,
     return docs.mapInArrow(run, "doc_id long, item_id long").distinct()
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS, max_share: float = 0.5) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, least: int = MIN_WORDS, max_share: float = 0.5, max_eval_chars: int = MAX_EVAL_CHARS) -> DataFrame:
     """(doc_id, text, n_removed) with the words of leaked spans taken out; documents of which the spans cover
     more than ``max_share`` of the words are left out. Null texts pass unchanged."""
-    from strataleaf.llm.words import word_pattern
-
-    rows = items.select(F.col("item_id").cast("long"), "text").distinct().collect()
-    finder = docs.sparkSession.sparkContext.broadcast(LeakFinder([(r[0], r[1]) for r in rows], least))
+    finder = _finder(items, least, max_eval_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, pat = finder.value, word_pattern()
