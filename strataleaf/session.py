@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
+_OWN: dict[str, str] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,18 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     (tests on one machine) a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="strataleaf-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _MADE.append(base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="strataleaf-")
+            _MADE.append(_OWN[app])
+        base = _OWN[app]
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, so a lost executor
-    costs a re-read and not a recomputation, and the shuffle files of what was written go at once. The folder of this process is removed when it ends."""
+def store(df: DataFrame, name: str = "t") -> str:
+    """Write ``df`` as a table in the shared folder; its path. The shuffle files of what was written go at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strataleaf-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
-    schema = df.schema
     old = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
@@ -55,16 +56,13 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     finally:
         spark.conf.unset(_CLEAN) if old is None else spark.conf.set(_CLEAN, old)
     _MADE.append(path)
-    return spark.read.schema(schema).parquet(path)
+    return path
 
 
-def release(*tables: DataFrame) -> None:
-    """Drop tables made by :func:`materialise` that no later step reads."""
-    for t in tables:
-        for f in t.inputFiles()[:1]:
-            path = os.path.dirname(f.removeprefix("file://").removeprefix("file:"))
-            if f"strataleaf-{os.getpid()}" in path:
-                shutil.rmtree(path, ignore_errors=True)
+def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+    """:func:`store` ``df`` and read it back: lineage ends there, so a lost executor costs a re-read and not a
+    recomputation. The folder of this process is removed when it ends."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
 
 
 @atexit.register
