@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataleaf.functions.ids import norm_id
-from strataleaf.session import materialise
+from strataleaf.session import materialise, store
 
 
 def latest_nodes(nodes: DataFrame, *fields: str) -> DataFrame:
@@ -48,17 +46,16 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
         t2 = materialise(_compress(acted), "compressed")
         rounds.append((acted, t2))
         t = t2.select("key", "name", "parent", "d", "w", "e", "seg")
-    done = materialise(
-        t.select(
-            "key", "name", F.when(F.col("parent").isNull(), F.col("name")).alias("root"),
-            F.lit(0).cast("long").alias("level"), F.col("w").alias("size"), F.when(F.col("parent").isNull(), F.col("seg")).alias("path"),
-        ),
-        "resolved",
+    done = t.select(
+        "key", "name", F.when(F.col("parent").isNull(), F.col("name")).alias("root"),
+        F.lit(0).cast("long").alias("level"), F.col("w").alias("size"), F.when(F.col("parent").isNull(), F.col("seg")).alias("path"),
     )
-    parts = [done]
+    paths = [store(done, "resolved")]
+    # one scan of all tables so far: the plan stays the same size in each round
+    resolved = lambda: links.sparkSession.read.schema(done.schema).parquet(*paths)
     for acted, t2 in reversed(rounds):
-        parts.append(materialise(_expand(acted, t2, reduce(DataFrame.unionByName, parts)), "resolved"))
-    out = reduce(DataFrame.unionByName, parts)
+        paths.append(store(_expand(acted, t2, resolved()), "resolved"))
+    out = resolved()
     rooted = F.col("root").isNotNull()
     cols = [
         F.col("name").alias("node_id"),
