@@ -62,8 +62,8 @@ def term_score(query: str, content: Column, is_heading: Column) -> Column:
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Inverted index: (term, key, tf, n_terms)."""
-    own = tokens(F.col(text))
-    rows = docs.select(key, F.size(own).alias("n_terms"), F.explode(own).alias("term"))
+    rows = docs.select(key, tokens(F.col(text)).alias("own"))  # else the words were split again for each of them
+    rows = rows.select(key, "own", F.explode("own").alias("term")).select(key, F.size("own").alias("n_terms"), "term")
     return rows.groupBy("term", key, "n_terms").agg(F.count(F.lit(1)).alias("tf"))
 
 
