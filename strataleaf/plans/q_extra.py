@@ -9,9 +9,11 @@ from strataleaf.functions.ids import micros
 from strataleaf.operators import extract as X
 from strataleaf.operators import facts as O
 from strataleaf.operators import graph as G
+from strataleaf.operators import likeness as L
 from strataleaf.operators import search as R
 from strataleaf.operators import sinks
 from strataleaf.operators.components import components
+from strataleaf.operators.hierarchy import latest_nodes
 from strataleaf.plans.base import Registry
 from strataleaf.plans.q_facts import _AT, _CHAIN, _CONFLICT, _DELTA, CUT90, D90, LEAD, STEPS, T0, T1, _cut, facts
 from strataleaf.plans.q_graph import _BFS, _roots, edges
@@ -159,6 +161,34 @@ def grf19(spark, d):
     return components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")).groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_clusters"))
 
 
+@query("fn23_similar_nodes")
+def fn23_all(spark, d):
+    """Each embedded node's class of like nodes of its document and with how many of another text it is like."""
+    return L.like_nodes(L.embedded(nodes(spark, d)), 0.65, texts_differ=True)
+
+
+@query("grf19_clusters")
+def grf19_all(spark, d):
+    """Single-linkage clusters over all nodes of a document, by size; a node without an embedding is one of its own."""
+    c = L.like_nodes(L.embedded(nodes(spark, d)), 0.65).select("node_id", "class_id")
+    every = latest_nodes(nodes(spark, d), "doc_id").select(F.col("key").alias("node_id")).join(c, "node_id", "left")
+    sizes = every.groupBy(F.coalesce("class_id", "node_id").alias("class_id")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    return sizes.groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_clusters"))
+
+
+@query("grf20_contradictions")
+def grf20_all(spark, d):
+    """Like nodes of a document that share a word of four letters or more, of which one denies something."""
+    return L.contradicting(L.embedded(nodes(spark, d))).select("x", "y")
+
+
+@query("grf21_dated_overrides")
+def grf21_all(spark, d):
+    """Of two dated nodes that contradict each other the newer overrides the older; at one date the first by id counts as newer."""
+    c = L.contradicting(L.embedded(nodes(spark, d)).filter("dated is not null")).withColumn("first", F.expr("x_dated >= y_dated"))
+    return c.select(F.when(F.col("first"), F.col("x")).otherwise(F.col("y")).alias("newer"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("older"))
+
+
 @query("grf02_hops_to_entities", f"select node, hops from ({_BFS.format(4)}) where starts_with(node, 'entity:')")
 def grf02(spark, d):
     e = edges(spark, d).filter(~F.col("k").isin("CONTRADICTS", "OVERRIDES"))
