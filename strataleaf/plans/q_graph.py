@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataleaf.functions.ids import norm_id
 from strataleaf.operators import graph as G
+from strataleaf.operators import likeness as L
 from strataleaf.operators import search as R
 from strataleaf.operators.hierarchy import hierarchy
 from strataleaf.operators.policy import Rule, condition
@@ -128,6 +129,13 @@ def joi14(spark, d):
     return R.top_k(s, ["qid"], 5, F.desc("score"), F.col("vec_id")).select("qid", "vec_id", "score", "position")
 
 
+@query("joi14_semantic_links")
+def joi14_all(spark, d):
+    """Nodes of a document at cosine 0.75 or more that are neither parent and child nor siblings: each embedded node's class
+    over these links and how many it has."""
+    return L.like_nodes(L.embedded(table(spark, d, "apex_ast_nodes")), 0.75, closed=True, apart=True)
+
+
 @query("flt20_rule", "select doc_id from documents where coalesce(lang in ('en', 'de'), false) and coalesce(starts_with(source, 'wiki'), false) and coalesce(n_chars >= 500, false)")
 def flt20(spark, d):
     rules = [Rule("lang", "IN", ["en", "de"]), Rule("source", "STARTS_WITH", "wiki"), Rule("n_chars", "GTE", 500)]
