@@ -1,0 +1,64 @@
+"""Checks of facts over all of them: links and versions of some are altered, so that there is something to find, and none is
+removed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strataleaf.operators import facts as O
+from strataleaf.plans import q_extra, q_facts
+from strataleaf.plans.base import Registry
+from strataleaf.plans.q_facts import _CUT, _dirty, facts
+
+query = Registry()
+_FLAWED = """facts as (select * replace (case when fact_id::bigint % 7 = 0 then 'lost-' || superseded_by else superseded_by end as superseded_by,
+case when fact_id::bigint % 11 = 0 then 'lost-' || parent_fact_id else parent_fact_id end as parent_fact_id,
+version_number + case when fact_id::bigint % 13 = 0 then 1000 else 0 end as version_number) from f0)"""
+
+
+def _flawed(df: DataFrame) -> DataFrame:
+    """All facts; of some the superseding or the preceding fact isn't there, or the version number jumps."""
+    n = F.col("fact_id").cast("long")
+    lost = lambda c, k: F.when(n % k == 0, F.concat(F.lit("lost-"), c)).otherwise(F.col(c))
+    links = {"superseded_by": lost("superseded_by", 7), "parent_fact_id": lost("parent_fact_id", 11)}
+    return df.withColumns(links | {"version_number": F.col("version_number") + F.when(n % 13 == 0, 1000).otherwise(0)})
+
+
+def _twin(name: str) -> str:
+    sql = (q_extra if name.startswith("joi07") else q_facts).query.sql[name]
+    if _CUT not in sql:
+        raise ValueError(f"{name} has no cut")
+    return sql.replace(_CUT, _FLAWED)
+
+
+@query("joi07_anomalies_of_all", _twin("joi07_all_anomalies"))
+def joi07(spark, d):
+    f = _flawed(facts(spark, d, 90))
+    kinds = O.conflicts(f).select("kind").unionByName(O.broken_links(f).select(F.lit("BROKEN_LINK").alias("kind"))).unionByName(O.chain_overlaps(f).select(F.lit("CHAIN_OVERLAP").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("joi10_broken_links_of_all", _twin("joi10_broken_links"))
+def joi10(spark, d):
+    return O.broken_links(_flawed(facts(spark, d, 90)))
+
+
+@query("win06_version_gaps_of_all", _twin("win06_version_gaps"))
+def win06(spark, d):
+    return O.version_gaps(_flawed(facts(spark, d, 90)))
+
+
+@query("agg14_fact_issues_of_all", _twin("agg14_fact_issues"))
+def agg14(spark, d):
+    return O.fact_issues(_dirty(_flawed(facts(spark, d, 90))))
+
+
+@query("agg13_document_issues_of_all", _twin("agg13_document_issues"))
+def agg13(spark, d):
+    return O.document_issues(_dirty(_flawed(facts(spark, d, 90))))
+
+
+@query("agg15_chain_summary_of_all", _twin("agg15_chain_summary"))
+def agg15(spark, d):
+    return O.chain_summary(_flawed(facts(spark, d, 90)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataleaf.plans import core_problems, core_sql, q_extra, q_facts, q_graph, q_more, q_nodes, q_same_ids, q_stats, q_stream, q_text
+from strataleaf.plans import core_problems, core_sql, q_all_facts, q_extra, q_facts, q_graph, q_more, q_nodes, q_same_ids, q_stats, q_stream, q_text
 
-_MODULES = (q_facts, q_nodes, q_same_ids, q_stats, q_text, q_graph, q_stream, q_more, q_extra)
+_MODULES = (q_facts, q_all_facts, q_nodes, q_same_ids, q_stats, q_text, q_graph, q_stream, q_more, q_extra)
 
 QUERIES = {**core_problems.QUERIES}
 SQL: dict[str, str] = {**core_sql.SQL}

@@ -1,0 +1,14 @@
+"""Checks of facts see every fact, whatever its confidence."""
+
+from strataleaf.plans import registry
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_no_fact_is_left_out(spark):
+    every = spark.read.parquet(f"{DATA}/orders.parquet").count()
+    n = lambda name: registry.QUERIES[name](spark, DATA).agg({"n_facts": "sum"}).first()[0]
+    assert n("agg15_chain_summary_of_all") == every > n("agg15_chain_summary")
+    seen = registry.QUERIES["joi10_broken_links_of_all"](spark, DATA)
+    assert seen.filter("cast(fact_id as bigint) % 101 >= 90").count() > 0
+    assert seen.filter("target not like 'lost-%'").count() == 0
