@@ -91,6 +91,44 @@ def parse_metric(value: Column) -> Column:
     )
 
 
+_SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+# Kinds of dates in the order in which they are tried: pattern, and the groups of year, month and day.
+DATES: dict[str, tuple[str, int, int, int]] = {
+    "iso": (r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3),
+    "us_long": (rf"(?i)\b({_MONTH})\s+(\d{{1,2}}),\s*(\d{{4}})\b", 3, 1, 2),
+    "us_short": (rf"(?i)\b({_SHORT})\s+(\d{{1,2}}),\s*(\d{{4}})\b", 3, 1, 2),
+    "dd_month_yyyy": (rf"(?i)\b(\d{{1,2}})\s+({_MONTH})\s+(\d{{4}})\b", 3, 2, 1),
+    "month_yyyy": (rf"(?i)\b({_MONTH})\s+(\d{{4}})\b", 2, 1, 0),
+    "quarter": (r"(?i)\bQ([1-4])\s*(?:FY)?(\d{4})\b", 2, 1, 0),
+    "year_only": (r"\b(19\d{2}|20\d{2})\b", 1, 0, 0),
+    "european": (r"\b(\d{2})[-/](\d{2})[-/](\d{4})\b", 3, 2, 1),
+}
+
+
+def first_date(text: Column, chars: int = 500) -> Column:
+    """The date of the first kind in :data:`DATES` whose first match in the first ``chars`` characters is one; of a day that
+    its month hasn't, a month in words gives the first. Quarters and years give their first day; dd-mm goes before mm-dd."""
+    window = F.substring(text, 1, chars)
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return F.when(y.try_cast("int") > 0, F.concat_ws("-", y, m, d).try_cast("date"))
+
+    found = []
+    for kind, (pattern, *groups) in DATES.items():
+        y, m, d = (F.regexp_extract(window, f"(?U){pattern}", g) if g else F.lit("01") for g in groups)
+        if kind == "quarter":
+            m = (m.try_cast("int") * 3 - 2).cast("string")
+        if "month" in kind or kind.startswith("us_"):
+            m = F.lpad(((F.position(F.substring(F.lower(m), 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string"), 2, "0")
+            y = F.when(y.try_cast("int").between(1900, 2099), y)
+            found += [F.when(y.isNotNull(), F.coalesce(day(y, m, d), day(y, m, F.lit("01"))))]
+        else:
+            found += [day(y, m, d)]
+        if kind == "european":
+            found += [day(y, d, m)]
+    return F.coalesce(*found)
+
+
 def fingerprint(text: Column, size: int = 384) -> Column:
     """A deterministic vector: eight hex digits at a time of sha256(text:counter), scaled to [-1, 1)."""
     blocks = F.transform(F.sequence(F.lit(0), F.lit((size + 7) // 8 - 1)), lambda i: F.sha2(F.concat(text, F.lit(":"), i.cast("string")), 256))

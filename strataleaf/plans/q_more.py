@@ -164,6 +164,12 @@ def fn16(spark, d):
     return _documents(spark, d).select("doc_id", day.alias("source_date"))
 
 
+@query("fn16_source_dates")
+def fn16_all(spark, d):
+    """The date of the best kind of eight in a text's first 500 characters."""
+    return _documents(spark, d).select("doc_id", X.first_date(F.col("text")).alias("source_date"))
+
+
 @query("set05_map_diff", """with v as (select distinct user_id, event_type, (ts >= timestamp '2024-01-15') late from events), x as (select user_id, event_type, bool_or(not late) a, bool_or(late) b from v group by 1, 2)
 select user_id, count_if(b and not a) as n_added, count_if(a and not b) as n_removed, count_if(a and b) as n_kept from x group by 1""")
 def set05(spark, d):
