@@ -156,6 +156,26 @@ def fn01(spark, d):
     return m.select("version_id", F.round("m.numeric_value", 6).alias("numeric_value"), F.col("m.unit").alias("unit"))
 
 
+def latest_contents(versions):
+    """(version_id, content) of the row with the latest updated_at (tie: the greatest content)."""
+    best = F.max(F.struct("updated_at", "content"))
+    return versions.filter("version_id is not null").groupBy("version_id").agg(best.alias("b")).select("version_id", F.col("b.content").alias("content"))
+
+
+@query("fn01_content_metrics")
+def fn01_contents(spark, d):
+    """The value of each version's content of the form name = value; a content of another form has an unknown one."""
+    v = latest_contents(table(spark, d, "node_versions")).select("version_id", X.parse_metric(F.split_part("content", F.lit(" = "), F.lit(2))).alias("m"))
+    return v.select("version_id", F.round("m.numeric_value", 6).alias("numeric_value"), F.col("m.unit").alias("unit"))
+
+
+@query("fn01_text_metrics")
+def fn01_texts(spark, d):
+    """The value of each metric that gen02_metrics finds."""
+    m = X.matches(table(spark, d, "documents"), "doc_id", "text", "metric").withColumn("m", X.parse_metric(F.col("object")))
+    return m.select("doc_id", "match_no", "subject", F.round("m.numeric_value", 6).alias("numeric_value"), F.col("m.unit").alias("unit"))
+
+
 @query("src16_fingerprints", """with x as (select doc_id, sha256(coalesce(text, '') || ':0') h from documents)
 select doc_id, round(('0x' || substr(h, 1, 8))::bigint / 4294967296.0 * 2 - 1, 9) as v0, round(('0x' || substr(h, 57, 8))::bigint / 4294967296.0 * 2 - 1, 9) as v7 from x""")
 def src16(spark, d):
