@@ -14,7 +14,7 @@ from strataleaf.plans.base import Registry
 from strataleaf.plans.q_facts import D90, _PAIR, facts
 from strataleaf.plans.q_text import _tok
 from strataleaf.sources.markdown import parse_markdown
-from strataleaf.sources.tables import table
+from strataleaf.sources.tables import SameIds, table
 
 query = Registry()
 _E = "e as (select distinct edge_id, source_node_id s, target_node_id t, edge_type k from apex_causal_edges)"
@@ -189,6 +189,24 @@ def grf07(spark, d):
     return e.join(back, ["s", "t"], "left_semi").select("edge_id").distinct()
 
 
+def _same_edges(spark, d):
+    return table(spark, SameIds(d), "apex_causal_edges").select("edge_id", F.col("source_node_id").alias("s"), F.col("target_node_id").alias("t"), "edge_type").distinct()
+
+
+@query("grf07_closes_cycle")
+def grf07_all(spark, d):
+    """Edges whose target reaches their source over dependency links, however many: adding them closes a cycle."""
+    e = _same_edges(spark, d)
+    l = e.filter(F.col("edge_type").isin("DEPENDS_ON", "IMPORTS", "REFERENCES")).select(F.col("s").alias("a"), F.col("t").alias("b"))
+    return G.closing(l, e).select("edge_id").distinct()
+
+
+@query("grf08_nodes_on_cycles")
+def grf08_all(spark, d):
+    """Nodes from which edges lead back to them."""
+    return G.on_cycles(_same_edges(spark, d).select(F.col("s").alias("a"), F.col("t").alias("b")).filter("a is not null and b is not null")).select(F.col("node").alias("node_id"))
+
+
 @query("srt07_documents_by_vector", """with q as (select embedding e from embeddings where vec_id = (select min(vec_id) from embeddings)),
 s as (select label, max(round(list_cosine_similarity(embedding::double[], (select e from q)::double[]), 6)) score from embeddings group by 1) select label, score from s order by score desc, label limit 5""")
 def srt07(spark, d):
