@@ -1,4 +1,4 @@
-"""Splitting of oversized texts at natural boundaries, giant ones in ranges."""
+"""Splitting of oversized texts at natural boundaries, by byte ranges."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataleaf.functions.ids import norm_id
+from strataleaf.llm.ranges import byte_ranges, decoded, file_ranges
 from strataleaf.session import materialise
 
-#: A piece's most and least characters, what it repeats of the piece before, and a range's characters. A table
-#: cell holds 2^31 bytes at most, so a text has at most 2,048 ranges.
-LIMIT, LEAST, REPEAT, RANGE = 3000, 1500, 200, 1 << 20
+#: A piece's most and least characters, what it repeats of the piece before, and a range's bytes.
+LIMIT, LEAST, REPEAT, RANGE = 3000, 1500, 200, 1 << 13
+#: Ranges whose boundary tables are stitched in one group; groups are stitched the same way.
+FAN = 64
 
 
 def boundaries(text: str, blank: bool = False) -> list[np.ndarray]:
@@ -48,6 +50,7 @@ def piece_end(kinds: list[np.ndarray], start: int, size: int, limit: int, least:
 
 
 def pieces(text: str, limit: int = LIMIT, least: int = LEAST, repeat: int = REPEAT) -> Iterator[tuple[int, int]]:
+    """The pieces of a text that is in memory."""
     kinds, start = boundaries(text), 0
     while True:
         end = piece_end(kinds, start, len(text), limit, least)
@@ -72,129 +75,180 @@ def _all_ends(kinds: list[np.ndarray], starts: int, size: int, limit: int, least
     return np.where(size - s <= limit, size, end)
 
 
-_OUT = "row long, piece_no long, start_pos long, end_pos long"
+def _kinds_of(before: str, text: str, blank: bool) -> list[np.ndarray]:
+    """Boundaries of a range and its halo in positions from its start; the character before it only tells a sentence's end."""
+    kinds = boundaries(text, blank)
+    if before and before in ".!?" and text[:1] in (" ", "\t") and text:
+        kinds[2] = np.union1d(kinds[2], [1])
+    return kinds
 
 
-def _short(batches: Iterator[pa.RecordBatch], limit: int, least: int, repeat: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [
-            (row, no, a, z)
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            for no, (a, z) in enumerate(pieces(text, limit, least, repeat), 1)
-        ]
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "piece_no", "start_pos", "end_pos"])
-
-
-def _ranges(batches: Iterator[pa.RecordBatch], size: int, halo: int) -> Iterator[pa.RecordBatch]:
-    """(row, text) to ranges: one character before, ``size`` of its own and ``halo`` after."""
-    names = ["row", "no", "text", "n_chars", "all_white", "ends_blank"]
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+def _columns(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(b.column(n).to_pylist() for n in names), strict=True)
+
+
+def _lengths(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Each range's own characters, and what it says of the line that the next range begins in."""
     for b in batches:
-        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for no, at in enumerate(range(0, len(text), size)):
-                own = text[at : at + size]
-                tail = own.rstrip(" \t\r")
-                values = (row, no, text[max(at - 1, 0) : at + size + halo], len(text), not tail, tail.endswith("\n"))
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
-
-
-def _kinds_of(no: int, text: str, blank: bool) -> list[np.ndarray]:
-    """Boundaries of a range in positions from its start; the character before it only tells a sentence's end."""
-    if no == 0:
-        return boundaries(text)
-    own, before = text[1:], boundaries(text[:2])[2]
-    kinds = boundaries(own, blank)
-    if len(before) and before[-1] == 2:
-        kinds[2] = np.union1d(kinds[2], [1])
-    return kinds
+        out = []
+        for no, raw in _columns(b, "no", "raw"):
+            own = decoded(raw, no, size)[1]
+            tail = own.rstrip(" \t\r")
+            out.append((len(own), not tail, tail.endswith("\n")))
+        n, white, ends = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("row"), b.column("no"), pa.array(n, pa.int64()), pa.array(white, pa.bool_()), pa.array(ends, pa.bool_())],
+            names=["row", "no", "own", "all_white", "ends_blank"],
+        )
 
 
 def _tables(batches: Iterator[pa.RecordBatch], size: int, limit: int, least: int, repeat: int) -> Iterator[pa.RecordBatch]:
-    """For each range and each place where a piece may be the first to start in it: where the first piece after
-    the range starts and how many start in the range. Jumps are doubled, so all entries are followed at once."""
+    """A range's boundary table: for each place at which a chain of pieces may enter it, how far into the next
+    range it gets (-1: the text ends before) and how many pieces start on the way. Jumps are doubled, so all
+    entries are followed at once."""
+    width = limit - repeat
     for b in batches:
-        for row, no, text, n, blank in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            left = n - no * size
-            own = min(size, left)
-            end = _all_ends(_kinds_of(no, text, blank), own, left, limit, least)
-            to = np.where(end == left, left + limit, end - repeat)
-            count = np.ones(own + 1, np.int64)
-            count[own] = 0
+        for row, no, raw, ended, blank in _columns(b, "row", "no", "raw", "ended", "blank"):
+            before, own_text, halo, _ = decoded(raw, no, size)
+            own = len(own_text)
+            seen = own + len(halo)
+            # a rest that goes on beyond the halo is longer than any piece
+            left = seen if ended else seen + limit + 1
+            end = _all_ends(_kinds_of(before, own_text + halo, blank), own, left, limit, least)
+            to = np.where(end == left, own + width, end - repeat)
             jump = np.append(np.minimum(to, own), own)
-            exit_ = np.append(to, 0)
-            far = exit_.copy()
-            while (jump[:own] < own).any():
+            far = np.append(to, 0)
+            count = np.append(np.ones(own, np.int64), 0)
+            while own and (jump[:own] < own).any():
                 inside = jump < own
-                far = np.where(inside, far[np.minimum(jump, own)], far)
+                far = np.where(inside, far[jump], far)
                 count = count + count[jump]
                 jump = jump[jump]
-            m = min(own, limit)
+            entry = np.arange(width)
+            inner = entry < own
+            leave = np.where(inner, far[np.minimum(entry, own)], entry) - own
+            leave = np.where(leave >= width, -1, leave)
+            passed = np.where(inner, count[np.minimum(entry, own)], 0)
+            kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row]), pa.array([no], pa.int32()), pa.array([far[:m].tolist()], pa.list_(pa.int64())), pa.array([count[:m].tolist()], pa.list_(pa.int64()))],
+                [pa.array([row]), pa.array([no], pa.int32()), pa.array([leave.astype(np.int32)], kind), pa.array([passed.astype(np.int32)], kind)],
                 names=["row", "no", "leave", "count"],
             )
 
 
-def _entries(size: int):
-    """Follow a text's ranges by their tables: one lookup a range."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, at, before, out = pdf.sort_values("no"), 0, 0, []
-        for no, leave, count in zip(pdf["no"], pdf["leave"], pdf["count"], strict=True):
-            if at - no * size >= min(size, len(leave)):
-                break
-            k = at - no * size
-            out.append((no, k, before))
-            at, before = no * size + int(leave[k]), before + int(count[k])
-        return pd.DataFrame({"row": pdf["row"].iloc[0], "no": [x[0] for x in out], "entry": [x[1] for x in out], "before": [x[2] for x in out]})
-
-    return run
+def _stitched(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The tables of neighbouring ranges as one table."""
+    pdf = pdf.sort_values("no")
+    at = np.arange(len(pdf["leave"].iloc[0]))
+    count = np.zeros(len(at), np.int64)
+    for leave, passed in zip(pdf["leave"], pdf["count"], strict=True):
+        on = at >= 0
+        count[on] += np.asarray(passed)[at[on]]
+        at[on] = np.asarray(leave)[at[on]]
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "no": [pdf["up"].iloc[0]], "leave": [at.astype(np.int32)], "count": [count.astype(np.int32)]})
+
+
+def _followed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where the chain that enters a group of ranges enters each of them, and the pieces before."""
+    pdf, out = pdf.sort_values("no"), []
+    at, before = int(pdf["entry"].iloc[0]), int(pdf["before"].iloc[0])
+    for no, leave, passed in zip(pdf["no"], pdf["leave"], pdf["count"], strict=True):
+        out.append((no, at, before))
+        before, at = before + int(passed[at]), int(leave[at])
+        if at < 0:
+            break
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]] * len(out), "no": [x[0] for x in out], "entry": [x[1] for x in out], "before": [x[2] for x in out]})
+
+
+def _entries(tables: DataFrame, most: int, kind: str) -> DataFrame:
+    """(row, no, entry, before) of each range a chain enters: tables are stitched upward in groups of FAN until a
+    text has one, then followed downward. No task has more than FAN tables of a text."""
+    up = (F.col("no") / FAN).cast("int")
+    levels = [tables.withColumn("up", up)]
+    while most >= FAN:
+        most //= FAN
+        joined = levels[-1].groupBy("row", "up").applyInPandas(_stitched, f"row {kind}, no int, leave array<int>, count array<int>")
+        levels.append(materialise(joined, "stitched").withColumn("up", up))
+    entries = levels[-1].select("row", F.lit(0).alias("no"), F.lit(0).alias("entry"), F.lit(0).cast("long").alias("before")).distinct()
+    for level in reversed(levels):
+        within = level.join(entries.withColumnRenamed("no", "up"), ["row", "up"])
+        entries = within.groupBy("row", "up").applyInPandas(_followed, f"row {kind}, no int, entry int, before long")
+    return entries
 
 
 def _emit(batches: Iterator[pa.RecordBatch], size: int, limit: int, least: int, repeat: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row, no, text, n, blank, entry, before in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            kinds, left, s, out = _kinds_of(no, text, blank), n - no * size, entry, []
-            while s < size:
+        rows, out = [], []
+        for row, no, raw, ended, blank, begin, s, piece in _columns(b, "row", "no", "raw", "ended", "blank", "begin", "entry", "before"):
+            before, own_text, halo, _ = decoded(raw, no, size)
+            kinds, seen = _kinds_of(before, own_text + halo, blank), len(own_text) + len(halo)
+            left = seen if ended else seen + limit + 1
+            while s < len(own_text):
                 e = piece_end(kinds, s, left, limit, least)
-                before += 1
-                out.append((row, before, no * size + s, no * size + e))
+                piece += 1
+                rows.append(row)
+                out.append((piece, begin + s, begin + e))
                 if e == left:
                     break
                 s = e - repeat
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["row", "piece_no", "start_pos", "end_pos"])
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows, b.schema.field("row").type), *(pa.array(c, pa.int64()) for c in cols)], names=["row", "piece_no", "start_pos", "end_pos"]
+        )
+
+
+def _pieces_of(ranges: DataFrame, limit: int, least: int, repeat: int, size: int) -> DataFrame:
+    """Pieces of the texts cut into ``ranges`` (row, no, n_ranges, ended, raw)."""
+    kind = ranges.schema["row"].dataType.simpleString()
+    cut = materialise(ranges, "ranges")
+    lengths = cut.mapInArrow(lambda it: _lengths(it, size), f"row {kind}, no int, own long, all_white boolean, ends_blank boolean")
+    before = Window.partitionBy("row").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    blank = F.last(F.when(~F.col("all_white"), F.col("ends_blank")), ignorenulls=True).over(before)
+    place = F.coalesce(F.sum("own").over(before), F.lit(0).cast("long"))
+    total = F.sum("own").over(Window.partitionBy("row"))
+    known = lengths.select("row", "no", F.coalesce(blank, F.lit(False)).alias("blank"), place.alias("begin"), total.alias("n_chars"))
+    known = materialise(known.filter(F.col("n_chars") > limit), "lengths")
+    most = known.agg(F.max("no")).first()[0]
+    if most is None:
+        return known.select("row", *(F.lit(0).cast("long").alias(c) for c in ("piece_no", "start_pos", "end_pos"))).limit(0)
+    first = known.filter("no = 0").select("row", "no", F.lit(0).alias("entry"), F.lit(0).cast("long").alias("before"))
+    several = cut.filter("n_ranges > 1").join(known, ["row", "no"]).select("row", "no", "raw", "ended", "blank")
+    tables = several.mapInArrow(lambda it: _tables(it, size, limit, least, repeat), f"row {kind}, no int, leave array<int>, count array<int>")
+    entries = first
+    if most:
+        entries = first.unionByName(_entries(materialise(tables, "tables"), most, kind).filter("no > 0"))
+    entered = cut.join(known, ["row", "no"]).join(entries, ["row", "no"]).select("row", "no", "raw", "ended", "blank", "begin", "entry", "before")
+    return entered.mapInArrow(lambda it: _emit(it, size, limit, least, repeat), f"row {kind}, piece_no long, start_pos long, end_pos long")
+
+
+def _checked(limit: int, least: int, repeat: int, size: int) -> int:
+    """Bytes of a range's halo: what the last piece to start in it may take, and one character to see that more follows."""
+    if not (0 <= repeat < least <= limit and size > 0):
+        raise ValueError("0 <= repeat < least <= limit and size > 0")
+    return 4 * (limit + 2)
 
 
 def split_texts(rows: DataFrame, limit: int = LIMIT, least: int = LEAST, repeat: int = REPEAT, size: int = RANGE) -> DataFrame:
-    """(row, piece_no, start_pos, end_pos) of the texts of (row bigint, text) with more than ``limit`` characters.
+    """(row, piece_no, start_pos, end_pos) of the texts of (row, text) with more than ``limit`` characters.
 
     A piece takes all of a rest of at most ``limit`` characters, else it ends at the last boundary of the best
     kind that occurs from ``least`` to ``limit`` characters on, else after ``limit``; the next starts ``repeat``
-    before its end. Null and shorter texts give no rows; ``row`` should be unique.
-
-    Texts over ``size`` characters are cut into ranges with halos. Workers find the boundaries in each range
-    (what a range can't see, whether the line before it is blank so far, is carried over by a window of one flag
-    a range) and tabulate where a chain of pieces that enters it anywhere leaves it; the tables are followed
-    from range to range, which gives each range its entry and the number of pieces before, and each range then
-    emits its pieces by offset. No step but the cutting sees more than a range of a text."""
-    if not 0 <= repeat < least <= limit < size:
-        raise ValueError("0 <= repeat < least <= limit < size")
-    rows = rows.select(F.col("row").cast("long").alias("row"), "text").filter(F.length("text") > limit)
-    short = rows.filter(F.length("text") <= size).mapInArrow(lambda it: _short(it, limit, least, repeat), _OUT)
-    giant = rows.filter(F.length("text") > size)
-    if giant.isEmpty():
-        return short
-    cut = giant.mapInArrow(lambda it: _ranges(it, size, limit + 1), "row long, no int, text string, n_chars long, all_white boolean, ends_blank boolean")
-    cut = materialise(cut, "ranges")
-    before = Window.partitionBy("row").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    blank = F.last(F.when(~F.col("all_white"), F.col("ends_blank")), ignorenulls=True).over(before)
-    flags = cut.select("row", "no", "all_white", "ends_blank").withColumn("blank", F.coalesce(blank, F.lit(False))).select("row", "no", "blank")
-    cut = cut.join(flags, ["row", "no"]).select("row", "no", "text", "n_chars", "blank")
-    tables = cut.mapInArrow(lambda it: _tables(it, size, limit, least, repeat), "row long, no int, leave array<long>, count array<long>")
-    entries = tables.groupBy("row").applyInPandas(_entries(size), "row long, no int, entry long, before long")
-    emitted = cut.join(entries, ["row", "no"]).select("row", "no", "text", "n_chars", "blank", "entry", "before")
-    return short.unionByName(emitted.mapInArrow(lambda it: _emit(it, size, limit, least, repeat), _OUT))
+    before its end. Null and shorter texts give no rows; ``row`` may be of any type and should be unique.
+
+    Each text is cut into ranges of ``size`` bytes with halos, one if it is short. Workers find the boundaries in
+    each range (what it can't see, whether the line before it is blank so far, comes from a window of one flag a range)
+    and tabulate where a chain of pieces that enters it anywhere leaves it; the tables are stitched in groups, which
+    gives each range its entry; prefix sums of the ranges' lengths turn entries into offsets, by which each range
+    emits its pieces. No Python process sees more than a range of a text, or FAN tables."""
+    after = _checked(limit, least, repeat, size)
+    long = rows.select("row", "text").filter(F.length("text") > limit)
+    return _pieces_of(byte_ranges(long, "text", size, after), limit, least, repeat, size)
+
+
+def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, least: int = LEAST, repeat: int = REPEAT, size: int = RANGE) -> DataFrame:
+    """As :func:`split_texts` of UTF-8 files, ``row`` being the path; no worker reads more of a file than its ranges."""
+    after = _checked(limit, least, repeat, size)
+    return _pieces_of(file_ranges(spark, paths, size, after), limit, least, repeat, size)
 
 
 def split_nodes(nodes: DataFrame, limit: int = LIMIT, least: int = LEAST, repeat: int = REPEAT, size: int = RANGE) -> DataFrame:
@@ -210,5 +264,5 @@ def split_nodes(nodes: DataFrame, limit: int = LIMIT, least: int = LEAST, repeat
     big = rows.filter(F.length("content") > limit)
     same = (F.col("key") == last["k"]) & rows["ingestion_date"].eqNullSafe(last["ingestion_date"]) & (rows["node_id"] == last["node_id"]) & (rows["digest"] == last["digest"])
     big = big.join(last, same, "left_semi").dropDuplicates(["key"])
-    big = materialise(big.select(F.xxhash64("key").alias("row"), "node_id", F.col("content").alias("text")), "big")
-    return split_texts(big, limit, least, repeat, size).join(big.select("row", "node_id"), "row").drop("row").select("node_id", "piece_no", "start_pos", "end_pos")
+    # one row a key is left, so node_id is as unique as the key
+    return split_texts(big.select(F.col("node_id").alias("row"), F.col("content").alias("text")), limit, least, repeat, size).withColumnRenamed("row", "node_id")

@@ -12,7 +12,7 @@ from strataleaf.llm.encoding import TOKENIZERS, decode, encode_corpus, encoder
 from strataleaf.llm.leakage import SuffixAutomaton, leaked_documents, without_leaks
 from strataleaf.llm.nearcopies import near_copies
 from strataleaf.llm.spans import sentence_spans, shared_chars, shared_spans
-from strataleaf.llm.splitting import pieces, split_nodes, split_texts
+from strataleaf.llm.splitting import pieces, split_files, split_nodes, split_texts
 from strataleaf.llm.words import words
 
 PARTS = ["a ", "bb", "\n", "\n\n", ". ", "。", "  \t", "\r", " " * 15, "x" * 20, "word ", "? "]
@@ -33,7 +33,7 @@ def plain_pieces(t, limit, least, repeat):
     return [*out, (s, len(t))]
 
 
-@pytest.mark.parametrize("limit,least,repeat,size", [(30, 15, 4, 31), (30, 15, 10, 70), (40, 20, 6, 100000)])
+@pytest.mark.parametrize("limit,least,repeat,size", [(30, 15, 4, 7), (30, 15, 4, 31), (30, 15, 10, 70), (40, 20, 6, 100000)])
 def test_pieces(spark, limit, least, repeat, size):
     r = random.Random(limit + size)
     rows = [(i, "".join(r.choice(PARTS) for _ in range(r.randint(0, 200)))) for i in range(60)] + [(-1, None), (-2, "")]
@@ -45,6 +45,22 @@ def test_pieces(spark, limit, least, repeat, size):
         assert sorted(got[i]) == want
 
 
+def test_pieces_of_a_giant_text(spark, tmp_path):
+    """Production parameters over 5 million characters, as a cell and as a file."""
+    r = random.Random(11)
+    parts = ["word ", "日本。", "é", "line\n", "\n \t\n", "End. ", "x" * 900, "no ", "words here ", " " * 40]
+    t = "".join(r.choices(parts, [9, 1, 2, 1, 1, 2, 0.5, 9, 9, 0.3], k=400_000))
+    t = t[:2_500_000] + " " * 20_000 + "y" * 30_000 + "\n" * 9_000 + t[2_500_000:5_000_000]
+    want = [("a", k, *p) for k, p in enumerate(pieces(t), 1)]
+    got = split_texts(spark.createDataFrame([("a", t), ("b", "short")], "row string, text string"))
+    assert sorted(tuple(x) for x in got.collect()) == want
+    path = tmp_path / "giant.txt"
+    path.write_bytes(t.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    got = split_files(spark, [str(path), str(tmp_path / "empty.txt")], size=1 << 16)
+    assert sorted(tuple(x) for x in got.collect()) == [(str(path), *w[1:]) for w in want]
+
+
 def test_pieces_of_nodes(spark):
     big, other = "word. " * 900, "line\n" * 700
     rows = [("N1", "short", 2), ("n1 ", big, 1), ("n2", big, 3), ("n2", big, 3), ("N2", other, 1), (None, big, 1), ("n3", None, None), ("n4", other, None)]
