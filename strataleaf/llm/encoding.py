@@ -1,4 +1,4 @@
-"""Encoding of a corpus with a public byte-level BPE, giant texts in overlapping chunks."""
+"""Encoding of a corpus with a public byte-level BPE, in overlapping chunks."""
 
 from __future__ import annotations
 
@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataleaf.llm.ranges import byte_ranges, decoded
 from strataleaf.session import materialise
 
 TOKENIZERS = "/opt/tokenizers"
-CHUNK, OVERLAP, MARGIN = 1 << 18, 1 << 12, 8
+#: Bytes of a chunk and of its overlap with the next; characters at a cut whose pre-tokens may be others in the text.
+CHUNK, OVERLAP, MARGIN = 1 << 12, 1 << 9, 8
 
 
 @lru_cache(maxsize=4)
@@ -36,11 +38,11 @@ def encoder(folder: str, name: str):
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], folder: str, name: str) -> Iterator[pa.RecordBatch]:
-    """The last column is the text; ids take its place."""
+    """The last column is a text's bytes; ids take its place."""
     enc = encoder(folder, name)
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
-        ids = [enc.encode_to_numpy(t, disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
+        ids = [enc.encode_to_numpy(t.decode("utf-8", "replace"), disallowed_special=()) if t else np.empty(0, np.uint32) for t in texts]
         ends = np.zeros(len(ids) + 1, np.int32)
         np.cumsum([len(x) for x in ids], out=ends[1:])
         flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
@@ -49,32 +51,62 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], folder: str, name: str) -
         )
 
 
-def _ends(pat, text: str, lo: int, hi: int) -> list[int]:
-    """Ends of pre-tokens of ``text`` in [lo, hi), but for those after white space: the pattern looks one
-    character past white space, so a piece that ended there would be split otherwise than within its text."""
-    return [e for m in pat.finditer(text) if lo <= (e := m.end()) < hi and not text[e - 1].isspace()]
+_CHUNK = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32()), ("at", pa.int64()), ("own", pa.int64()), ("ended", pa.bool_()), ("raw", pa.binary()),
+     ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))]
+)
+_CHUNK_DDL = "row long, doc_id long, no int, at long, own long, ended boolean, raw binary, head array<long>, tail array<long>"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], folder: str, chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) to (row, doc_id, no, text, head, tail): chunk ``no`` of a text begins at no·chunk and
-    has ``overlap`` characters more than its own; head and tail are the pre-token ends (positions in the text)
-    that it sees in its first characters and in the overlap with the next chunk."""
+def _chunk(pat, row: int, doc: int | None, no: int, at: int, own: bytes, halo: bytes, ended: bool, last: bool, overlap: int) -> dict:
+    """A chunk from its place ``at``: its own bytes and the overlap, with the pre-token ends (places in the text)
+    that it sees in its first bytes and in the overlap. Pre-tokens are those of a run from the chunk's start.
+
+    Ends after white space are left out: the pattern looks one character past white space, so a piece that ended
+    there would be split otherwise than within its text. So are the last places of a cut text, where what follows decides."""
+    text = (own + halo).decode("utf-8", "replace")
+    ends = [e for m in pat.finditer(text) if not text[(e := m.end()) - 1].isspace()]
+    if not ended:
+        ends = [e for e in ends if e <= len(text) - MARGIN]
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    width = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+    place = at + np.concatenate([[0], np.cumsum(width)])[ends] if ends else np.empty(0, np.int64)
+    return {
+        "row": row, "doc_id": doc, "no": no, "at": at, "own": len(own), "ended": ended, "raw": own + halo,
+        "head": place[place < at + overlap].tolist(), "tail": [] if last else place[place >= at + len(own)].tolist(),
+    }
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], folder: str, size: int, overlap: int) -> Iterator[pa.RecordBatch]:
     import regex
 
     pat = regex.compile(_pattern(folder))
-    kind = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32()), ("text", pa.string()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))]
-    )
     for b in batches:
-        for row, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for no, at in enumerate(range(0, len(text), chunk)):
-                part = text[at : at + chunk + overlap]
-                head = [0] if at == 0 else [at + e for e in _ends(pat, part[: overlap + MARGIN], 0, overlap)]
-                tail: list[int] = []
-                if at + chunk < len(text):
-                    last = min(chunk + overlap, len(part)) - (MARGIN if at + len(part) < len(text) else 0)
-                    tail = [at + e for e in _ends(pat, part, chunk, last)]
-                yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc, "no": no, "text": part, "head": head, "tail": tail}], kind)
+        rows = []
+        for row, doc, no, n, ended, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            _, own, halo, at = decoded(raw, no, size)
+            rows.append(_chunk(pat, row, doc, no, at, own.encode(), halo.encode(), ended, no == n - 1, overlap))
+        yield pa.RecordBatch.from_pylist(rows, _CHUNK)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], folder: str, overlap: int) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, parts): neighbours that share no end, as one chunk."""
+    import regex
+
+    pat = regex.compile(_pattern(folder))
+    for b in batches:
+        for row, doc, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own, last = b"".join(p["raw"][: p["own"]] for p in parts), parts[-1]
+            halo = last["raw"][last["own"] :]
+            yield pa.RecordBatch.from_pylist([_chunk(pat, row, doc, parts[0]["no"], parts[0]["at"], own, halo, last["ended"], not halo, overlap)], _CHUNK)
+
+
+def _stitched(parts: DataFrame) -> DataFrame:
+    """``parts`` with ``from``, where the piece that begins in a chunk begins: the first end that it and the chunk
+    before both see in their overlap. Null if there is none."""
+    order = Window.partitionBy("row").orderBy("no")
+    shared = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
+    return parts.withColumn("from", F.when(F.col("no") == 0, F.lit(0).cast("long")).otherwise(shared))
 
 
 def encode_corpus(
@@ -85,38 +117,34 @@ def encode_corpus(
     A null and an empty text give an empty list; a repeated row gives a row each; null doc_ids stay; an empty
     table gives no rows. Only doc_id and text are read, so other columns may have any name.
 
-    Texts of up to ``chunk`` characters are encoded where they are read. Longer ones are cut into overlapping
-    chunks which are pre-tokenised in parallel, each from its own start. The pattern never looks back, so two
-    runs that share a pre-token end agree from there on: neighbours are stitched at the first end that both see
-    in their overlap, and the pieces between stitches are encoded in parallel. From the first neighbours that
-    share none (a run without any end, longer than the overlap) the rest of the text is encoded as one piece, as
-    the ends seen there prove nothing. Decoding is concatenation of bytes."""
+    Each text is cut into chunks of ``chunk`` bytes that overlap by ``overlap``. Chunks are pre-tokenised in
+    parallel, each from its own start. The pattern never looks back, so two runs that share a pre-token end agree
+    from there on: neighbours are stitched at the first end that both see in their overlap, and the pieces between
+    stitches are encoded in parallel. Neighbours that share none (in a run of letters or of white space longer than the
+    overlap) become one chunk, which is pre-tokenised again and stitched with its neighbours, until all are: a task never
+    holds more than such a run, which is one pre-token, and the chunks it touches. A text of one chunk has nothing to be
+    stitched and is encoded where it is read. Decoding is concatenation of bytes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    long_ = F.coalesce(F.length("text") > chunk, F.lit(False))
     run = lambda df, schema: df.mapInArrow(lambda it: _encode_batches(it, folder, name), schema)
-    short = run(docs.filter(~long_), "doc_id long, ids array<int>")
-    giant = docs.filter(long_)
-    if giant.isEmpty():
-        return short
-    parts = giant.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        lambda it: _chunks(it, folder, chunk, overlap), "row long, doc_id long, no int, text string, head array<int>, tail array<int>"
-    )
-    parts = materialise(parts, "chunks")
-    order = Window.partitionBy("row").orderBy("no")
-    stitch = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
-    parts = parts.withColumn("from", F.when(F.col("no") == 0, 0).otherwise(stitch))
-    synced = F.min(F.col("from").isNotNull()).over(order)
-    parts = parts.withColumn("from", F.when(synced, F.col("from"))).withColumn("to", F.lead("from").over(order))
-    own = F.col("no") * chunk
-    begin, end = F.coalesce("from", own), F.coalesce("to", F.when(F.lead("no").over(order).isNotNull(), own + chunk), own + F.length("text"))
-    parts = parts.select(
-        "row", "doc_id", "no", F.count("from").over(order).alias("piece"), F.substring("text", begin - own + 1, end - begin).alias("text")
-    )
-    pieces = parts.groupBy("row", "doc_id", "piece").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("t"))
-    pieces = pieces.select("row", "doc_id", "piece", F.array_join("t.text", "").alias("text"))
-    done = run(pieces.select("row", "doc_id", "piece", "text"), "row long, doc_id long, piece long, ids array<int>")
-    whole = done.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-    return short.unionByName(whole.select("doc_id", F.flatten("p.ids").alias("ids")))
+    cut = byte_ranges(docs, "text", chunk, overlap)
+    whole = run(cut.filter("n_ranges = 1").select("doc_id", "raw"), "doc_id long, ids array<int>")
+    several = docs.filter(F.octet_length("text") > chunk).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = byte_ranges(several, "text", chunk, overlap).select("row", "doc_id", "no", "n_ranges", "ended", "raw")
+    parts = _stitched(materialise(parts.mapInArrow(lambda it: _chunks(it, folder, chunk, overlap), _CHUNK_DDL), "chunks"))
+    while not parts.filter(F.col("from").isNull()).isEmpty():
+        order = Window.partitionBy("row").orderBy("no")
+        named = parts.withColumn("island", F.count("from").over(order))
+        named = named.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("row", "island")))
+        lone = named.filter("members = 1").select(*_CHUNK.names)
+        tied = named.filter("members > 1").groupBy("row", "doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("no", "at", "own", "ended", "raw"))).alias("parts"))
+        tied = tied.select("row", "doc_id", "parts").mapInArrow(lambda it: _joined(it, folder, overlap), _CHUNK_DDL)
+        parts = _stitched(materialise(lone.unionByName(tied), "chunks"))
+    to = F.coalesce(F.lead("from").over(Window.partitionBy("row").orderBy("no")), F.col("at") + F.length("raw"))
+    piece = F.substring("raw", (F.col("from") - F.col("at") + 1).cast("int"), (to - F.col("from")).cast("int"))
+    pieces = parts.select("row", "doc_id", "no", piece.alias("raw"))
+    done = run(pieces, "row long, doc_id long, no int, ids array<int>")
+    rows = done.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("p"))
+    return whole.unionByName(rows.select("doc_id", F.flatten("p.ids").alias("ids")))
 
 
 def decode(ids: list[int], folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:

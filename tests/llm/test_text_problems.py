@@ -120,7 +120,7 @@ def test_near_copies_of_nothing(spark):
 MIX = ["  ", "\n\n", "a", "word", "'s", "'ll", "日本", "é", "1234", " x", "\t", "  \n", "!?", "z" * 30, "<|endoftext|>"]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(50, 20), (37, 30), (1 << 18, 1 << 12)])
+@pytest.mark.parametrize("chunk,overlap", [(50, 20), (37, 30), (1 << 12, 1 << 9)])
 def test_encoding(spark, chunk, overlap):
     r = random.Random(chunk)
     rows = [(i, "".join(r.choice(MIX) for _ in range(r.randint(0, 120)))) for i in range(80)] + [(-1, None), (-2, ""), (None, "x")]
@@ -132,6 +132,18 @@ def test_encoding(spark, chunk, overlap):
     assert encode_corpus(df.limit(0)).count() == 0
 
 
+def test_encoding_of_a_giant_text(spark):
+    """Production parameters over 5 million characters; runs longer than the overlap, in the middle and at both ends."""
+    r = random.Random(5)
+    t = "".join(r.choices(MIX, k=1_700_000))
+    t = " " * 9_000 + t[:2_000_000] + "ab" * 6_000 + t[2_000_000:4_000_000] + "\n" * 5_000 + t[4_000_000:5_000_000] + "日" * 3_000
+    rows = [(1, t), (2, "short"), (3, "x" * 4_095 + "é" * 2), (4, " " * 10_000)]
+    enc = encoder(TOKENIZERS, "byte_bpe_50k")
+    got = {x.doc_id: x.ids for x in encode_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i] == enc.encode_ordinary(text)
+
+
 def test_suffix_automaton():
     r = random.Random(3)
     items = [[r.randrange(4) for _ in range(r.randrange(1, 30))] for _ in range(6)]
