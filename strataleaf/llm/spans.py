@@ -10,13 +10,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataleaf.llm.ranges import LEAD, byte_ranges, decoded
 from strataleaf.operators.orphans import bloom_blocks, filter_size, probe
 from strataleaf.session import materialise
 
 #: Characters of a stretch that counts; of an anchor (a run of an anchor's length is chosen in each stretch).
 MIN_CHARS, ANCHOR = 120, 60
-#: Characters that are hashed at once in a Python worker.
-BATCH_CHARS = 1 << 19
+#: Bytes of a text that are looked at as one, and characters that are hashed at once in a Python worker.
+RANGE, BATCH_CHARS = 1 << 16, 1 << 19
+#: Characters that end a sentence: full stop, marks, line's end, ideographic full stop.
+ENDERS = (46, 33, 63, 10, 0x3002)
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -29,17 +32,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashed:
-    """Polynomial hashes of all runs of one or several texts, laid end to end."""
+    """Polynomial hashes of all runs of some texts' ranges, laid end to end. Runs begin in a range's own characters
+    and may end in its halo."""
 
     _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
-    def __init__(self, texts: list[str]):
-        code = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    def __init__(self, parts: list[tuple[str, str, str, int]], ended: list[bool]):
+        code = [np.frombuffer((own + halo).encode("utf-32-le"), np.uint32) for _, own, halo, _ in parts]
         self.sizes = np.array([len(c) for c in code], np.int64)
+        self.own = np.array([len(own) for _, own, _, _ in parts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.before = [p[0] for p in parts]
+        self.first = np.array([p[3] == 0 for p in parts], bool)
+        self.ended = np.array(ended, bool)
         n = int(self.sizes.sum())
         up, self.down = self._pow(n + 1)
-        x = _mixed(np.concatenate(code).astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) if n else np.empty(0, np.uint64)
+        self.code = np.concatenate(code) if n else np.empty(0, np.uint32)
+        x = _mixed(self.code.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(x * up[:n], out=self.sums[1:])
 
@@ -59,6 +68,29 @@ class Hashed:
         """Hashes of [lo, hi), the same wherever the run stands."""
         return _mixed((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
+    def sentence_runs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lo, hi) of the run of consecutive sentences from each sentence's start, as many as make ``least``
+        characters. Where a sentence begins is told by the two characters around the place, or by the text's ends."""
+        n = len(self.code)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        stop = np.isin(self.code, ENDERS)
+        inner = np.ones(n, bool)
+        inner[self.starts[self.starts < n]] = False
+        at = np.flatnonzero(inner[1:] & stop[:-1] & ~stop[1:]) + 1
+        head = self.first | np.array([bool(b) and ord(b) in ENDERS for b in self.before])
+        filled = self.sizes > 0
+        head[filled] &= self.first[filled] | ~stop[self.starts[filled]]
+        begin = np.union1d(at, self.starts[head & filled])
+        ends = np.union1d(at, (self.starts + self.sizes)[self.ended])
+        doc = self.doc_of(begin)
+        begin = begin[begin - self.starts[doc] < self.own[doc]]
+        k = np.searchsorted(ends, begin + least)
+        begin, k = begin[k < len(ends)], k[k < len(ends)]
+        doc = self.doc_of(begin)
+        ok = ends[k] <= (self.starts + self.sizes)[doc]
+        return begin[ok], ends[k][ok]
+
     def anchors(self, stretch: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, place): each window of ``stretch`` characters within a text, and its anchor: the leftmost of
         its runs of ``anchor`` characters with the least hash. Equal windows have their anchors at equal places."""
@@ -72,8 +104,8 @@ class Hashed:
             k *= 2
         m = n - stretch + 1
         val, idx = _least(val[:m], idx[:m], val[width - k : width - k + m], idx[width - k : width - k + m])
-        first = np.repeat(self.starts + self.sizes - stretch, np.maximum(self.sizes, 0))[:m]
-        ok = np.flatnonzero(np.arange(m) <= first)
+        last = self.starts + np.minimum(self.sizes - stretch, self.own - 1)
+        ok = np.flatnonzero(np.arange(m) <= np.repeat(last, self.sizes)[:m])
         return ok, idx[ok]
 
     def doc_of(self, place: np.ndarray) -> np.ndarray:
@@ -85,15 +117,16 @@ def _least(a, ai, b, bi):
     return np.where(less, b, a), np.where(less, bi, ai)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, Hashed]]:
-    """Rows in groups of about BATCH_CHARS characters, with their hashes. Column ``text`` isn't null."""
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Hashed]]:
+    """Ranges (doc_id, no, ended, raw, ..) in groups of about BATCH_CHARS characters, with their hashes."""
     for b in batches:
-        length = pa.compute.utf8_length(b.column(text)).to_numpy(zero_copy_only=False)
+        length = pa.compute.binary_length(b.column("raw")).to_numpy(zero_copy_only=False)
         at = 0
         while at < len(length):
             upto = max(at + 1, at + int(np.searchsorted(np.cumsum(length[at:]), BATCH_CHARS, side="right")))
             part = b.slice(at, upto - at)
-            yield part, Hashed(part.column(text).to_pylist())
+            texts = [decoded(raw, no, size) for raw, no in zip(part.column("raw").to_pylist(), part.column("no").to_pylist(), strict=True)]
+            yield part, Hashed(texts, part.column("ended").to_pylist())
             at = upto
 
 
@@ -108,47 +141,62 @@ def _owned(t: Hashed, stretch: int, anchor: int) -> tuple[np.ndarray, ...]:
     if not len(place):
         return place, place, place
     new = np.ones(len(place), bool)
-    new[1:] = place[1:] != place[:-1]
+    new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
     last = np.ones(len(place), bool)
     last[:-1] = new[1:]
     return place[new], window[new], window[last] + stretch
 
 
-def _anchor_hashes(batches: Iterator[pa.RecordBatch], stretch: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    for b, t in _groups(batches, 1):
+def _hashes(batches: Iterator[pa.RecordBatch], size: int, stretch: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """(hash, doc_id) of all sentence runs and anchors."""
+    for b, t in _groups(batches, size):
+        lo, hi = t.sentence_runs(stretch)
         place = _owned(t, stretch, anchor)[0]
-        ids = b.column(0).to_numpy()[t.doc_of(place)]
-        yield pa.RecordBatch.from_arrays([_signed(t.runs(place, place + anchor)), pa.array(ids)], names=["hash", "doc_id"])
+        doc = t.doc_of(np.concatenate([lo, place]))
+        h = np.concatenate([t.runs(lo, hi), t.runs(place, place + anchor)])
+        yield pa.RecordBatch.from_arrays([_signed(h), pa.array(b.column("doc_id").to_numpy()[doc])], names=["hash", "doc_id"])
+
+
+_RUN = "hash long, doc_id long, no int, own int, lo int, hi int, around long"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], stretch: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    for b, t in _groups(batches, 1):
-        place, lo, hi = _owned(t, stretch, anchor)
-        doc = t.doc_of(place)
+def _rows(batches: Iterator[pa.RecordBatch], size: int, stretch: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Sentence runs (``around`` null) and anchors with what their windows cover, [lo, hi) from the range's start."""
+    for b, t in _groups(batches, size):
+        lo, hi = t.sentence_runs(stretch)
+        place, left, right = _owned(t, stretch, anchor)
+        h = np.concatenate([t.runs(lo, hi), t.runs(place, place + anchor)])
+        around = np.concatenate([np.zeros(len(lo), np.uint64), t.runs(left, right)])
+        begin, end = np.concatenate([lo, left]), np.concatenate([hi, right])
+        doc = t.doc_of(begin)
         yield pa.RecordBatch.from_arrays(
             [
-                _signed(t.runs(place, place + anchor)),
-                pa.array(b.column(0).to_numpy()[doc]),
-                *(pa.array((x - t.starts[doc]).astype(np.int32)) for x in (lo, hi)),
-                _signed(t.runs(lo, hi)),
+                _signed(h),
+                *(pa.array(b.column(c).to_numpy()[doc]) for c in ("doc_id", "no")),
+                *(pa.array(x.astype(np.int32)) for x in (t.own[doc], begin - t.starts[doc], end - t.starts[doc])),
+                pa.array(around.view(np.int64), mask=np.arange(len(begin)) < len(lo)),
             ],
-            names=["hash", "doc_id", "lo", "hi", "around"],
+            names=["hash", "doc_id", "no", "own", "lo", "hi", "around"],
         )
 
 
-def _windows(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, los, his) to a row for each window in the spans [lo, hi)."""
-    for b, t in _groups(batches, 1):
+def _windows(batches: Iterator[pa.RecordBatch], size: int, stretch: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, no, ended, raw, los, his) to a row for each window in the spans [lo, hi)."""
+    for b, t in _groups(batches, size):
         parts = [
             np.arange(x, y - stretch + 1) + at
-            for at, los, his in zip(t.starts, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            for at, los, his in zip(t.starts, b.column("los").to_pylist(), b.column("his").to_pylist(), strict=True)
             for x, y in zip(los, his, strict=True)
         ]
         window = np.unique(np.concatenate(parts))
         doc = t.doc_of(window)
         yield pa.RecordBatch.from_arrays(
-            [_signed(t.runs(window, window + stretch)), pa.array(b.column(0).to_numpy()[doc]), pa.array((window - t.starts[doc]).astype(np.int32))],
-            names=["hash", "doc_id", "lo"],
+            [
+                _signed(t.runs(window, window + stretch)),
+                *(pa.array(b.column(c).to_numpy()[doc]) for c in ("doc_id", "no")),
+                *(pa.array(x.astype(np.int32)) for x in (t.own[doc], window - t.starts[doc])),
+            ],
+            names=["hash", "doc_id", "no", "own", "lo"],
         )
 
 
@@ -159,39 +207,53 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return ends.filter("a <> b").select(key)
 
 
-def shared_spans(docs: DataFrame, stretch: int = MIN_CHARS, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, lo, hi): stretches of at least ``stretch`` characters that stand verbatim in the text of another
-    document; they overlap, and their union is exactly the shared characters.
+def shared_spans(docs: DataFrame, stretch: int = MIN_CHARS, anchor: int = ANCHOR, size: int = RANGE) -> DataFrame:
+    """(doc_id, no, own, lo, hi, by): stretches of at least ``stretch`` characters that stand verbatim in the text of
+    another document, as places in range ``no`` of the text, which has ``own`` characters; a span may reach into the next
+    range. They overlap, and their union is exactly the shared characters. ``by`` names the step that found them.
 
     Null texts, texts under ``stretch`` characters and null doc_ids are left out; rows that repeat a doc_id are
-    the same document; an empty table gives no rows.
-
-    Runs are hashed that begin where the text itself says, as a stretch that counts needn't hold a whole
-    sentence: each window of ``stretch`` characters has an anchor in it, a window's anchor is where it is in any
-    text, and a text has one about every 33 characters. (1) Anchors in two documents or more are found by one
-    aggregation of (hash, document). (2) What the windows of an anchor cover together is hashed; if it stands in
-    another document, it is shared whole. (3) Where it isn't, at the edges of shared spans, each window is hashed
-    and looked up, in these documents and in two documents for each run of (2) with such an anchor (two, as one
-    of them may be the document that looks)."""
+    the same document; an empty table gives no rows. Texts are looked at in ranges of ``size`` bytes with halos.
+
+    (1) ``sentences``: the run of consecutive sentences from each sentence on that makes ``stretch`` characters is hashed,
+    runs are joined over all documents, and one that stands in two is shared whole.
+    A stretch that counts needn't hold a whole sentence, so what runs can't prove is checked: (2) ``anchors``: each window of
+    ``stretch`` characters has an anchor in it, where it is in any text; anchors in two documents are found in the same
+    aggregation, what the windows of one cover together is hashed, and if it stands in two documents, it is shared
+    whole. (3) ``windows``: where it isn't, and no run of sentences covers it, each window is hashed and looked up, in these
+    documents and in two documents for each run of (2) with such an anchor (two, as one of them may be the document that looks).
+    Only documents with a run or an anchor in common with another are read a second time."""
+    if size < 16 * stretch + LEAD:
+        raise ValueError("a range is shorter than its halo")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= stretch))
-    first = docs.mapInArrow(lambda it: _anchor_hashes(it, stretch, anchor), "hash long, doc_id long")
-    known = materialise(_repeated(first, "hash"), "anchors")
-    rows = docs.mapInArrow(lambda it: _anchor_rows(it, stretch, anchor), "hash long, doc_id long, lo int, hi int, around long")
+    cut = byte_ranges(docs, "text", size, 16 * stretch).select("doc_id", "no", "ended", "raw")
+    first = materialise(cut.mapInArrow(lambda it: _hashes(it, size, stretch, anchor), "hash long, doc_id long"), "hashes")
+    known = materialise(_repeated(first, "hash"), "known")
+    some = materialise(only_in(first, known, "hash").select("doc_id").distinct(), "documents")
+    texts = materialise(only_in(docs, some, "doc_id"), "texts")
+    cut = byte_ranges(texts, "text", size, 16 * stretch).select("doc_id", "no", "ended", "raw")
+    rows = cut.mapInArrow(lambda it: _rows(it, size, stretch, anchor), _RUN)
     rows = materialise(only_in(rows, known, "hash"), "found")
 
-    ends = rows.groupBy("hash", "around").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    spans = rows.filter("around is null")
+    proven = F.max(F.when(F.col("around").isNull(), F.col("hi"))).over(Window.partitionBy("doc_id", "no").orderBy("lo"))
+    rows = materialise(rows.withColumn("covered", F.coalesce(proven >= F.col("hi"), F.lit(False))).filter("around is not null"), "anchors")
+    ends = rows.groupBy("hash", "around").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_and("covered").alias("covered"))
     ends = materialise(ends.withColumn("proven", F.col("a") != F.col("b")), "around")
-    lone = ends.filter(~F.col("proven")).select("hash").distinct()
+    lone = ends.filter(~F.col("proven") & ~F.col("covered")).select("hash").distinct()
     looked_up = ends.join(lone, "hash", "left_semi").select("hash", "around", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id"))
-    spans = rows.join(looked_up, ["hash", "around", "doc_id"], "left_semi").groupBy("doc_id")
-    spans = materialise(spans.agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "edges")
-
-    texts = only_in(docs, spans.select("doc_id"), "doc_id", exact=False)
-    texts = materialise(texts.join(spans, "doc_id").select("doc_id", "text", "los", "his"), "texts")
-    windows = texts.mapInArrow(lambda it: _windows(it, stretch), "hash long, doc_id long, lo int")
-    single = only_in(windows, materialise(_repeated(windows, "hash"), "windows"), "hash")
+    asked = rows.join(looked_up, ["hash", "around", "doc_id"], "left_semi").groupBy("doc_id", "no")
+    asked = materialise(asked.agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "edges")
+    windows = cut.join(asked, ["doc_id", "no"]).select("doc_id", "no", "ended", "raw", "los", "his")
+    windows = materialise(windows.mapInArrow(lambda it: _windows(it, size, stretch), "hash long, doc_id long, no int, own int, lo int"), "windows")
+    single = windows.join(_repeated(windows, "hash"), "hash", "left_semi")
     whole = rows.join(ends.filter("proven"), ["hash", "around"], "left_semi")
-    return whole.select("doc_id", "lo", "hi").unionByName(single.select("doc_id", "lo", (F.col("lo") + stretch).alias("hi")))
+    at = ("doc_id", "no", "own", "lo")
+    return (
+        spans.select(*at, "hi", F.lit("sentences").alias("by"))
+        .unionByName(whole.select(*at, "hi", F.lit("anchors").alias("by")))
+        .unionByName(single.select(*at, (F.col("lo") + stretch).alias("hi"), F.lit("windows").alias("by")))
+    )
 
 
 def only_in(rows: DataFrame, keys: DataFrame, key: str, exact: bool = True) -> DataFrame:
@@ -202,10 +264,19 @@ def only_in(rows: DataFrame, keys: DataFrame, key: str, exact: bool = True) -> D
 
 
 def shared_chars(spans: DataFrame) -> DataFrame:
-    """(doc_id, shared_chars): characters in the union of each document's spans. Rows that repeat count once;
-    documents without a span have no row."""
-    before = Window.partitionBy("doc_id").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    edge = spans.groupBy("doc_id", "lo").agg(F.max("hi").alias("hi")).withColumn("reach", F.coalesce(F.max("hi").over(before), F.lit(0)))
+    """(doc_id, shared_chars): characters in the union of each document's spans (doc_id, no, own, lo, hi). Rows that
+    repeat count once; documents without a span have no row. What reaches beyond a range counts in the next."""
+    part = F.explode(
+        F.filter(
+            F.array(
+                F.struct("no", "lo", F.least("hi", "own").alias("hi")), F.struct((F.col("no") + 1).alias("no"), F.lit(0).alias("lo"), (F.col("hi") - F.col("own")).alias("hi"))
+            ),
+            lambda x: x["hi"] > x["lo"],
+        )
+    )
+    parts = spans.select("doc_id", part.alias("p")).select("doc_id", "p.*")
+    before = Window.partitionBy("doc_id", "no").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    edge = parts.groupBy("doc_id", "no", "lo").agg(F.max("hi").alias("hi")).withColumn("reach", F.coalesce(F.max("hi").over(before), F.lit(0)))
     new = F.greatest(F.col("hi") - F.greatest("lo", "reach"), F.lit(0)).cast("long")
     return edge.groupBy("doc_id").agg(F.sum(new).alias("shared_chars"))
 

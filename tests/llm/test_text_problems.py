@@ -185,10 +185,10 @@ def plain_shared(rows, n):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_shared(spark, seed):
+@pytest.mark.parametrize("seed,size", [(0, 1 << 16), (1, 1 << 16), (2, 1 << 16), (0, 800), (2, 644)])
+def test_shared(spark, seed, size):
     r = random.Random(seed)
-    letters = "ab" if seed == 2 else "abcdefghé日\n "
+    letters = "ab" if seed == 2 else "abcdefghé日\n ."
     long = "".join(r.choice(letters) for _ in range(600))
     rows = [(0, long), (1, long), (2, long[50:300] + "Q" + long[100:140]), (3, None), (4, ""), (5, "-" * 300), (6, "-" * 90)]
     for i in range(10, 40):
@@ -198,11 +198,25 @@ def test_shared(spark, seed):
             t += long[s : s + r.randrange(10, 90)] + "".join(r.choice(letters) for _ in range(r.randrange(20)))
         rows.append((i, t))
     df = spark.createDataFrame([(a, b, 1) for a, b in [*rows, rows[0], rows[5]]], "doc_id long, text string, `hash` int")
-    got = {x.doc_id: x.shared_chars for x in shared_chars(shared_spans(df, 40, 20)).collect()}
+    spans = shared_spans(df, 40, 20, size)
+    got = {x.doc_id: x.shared_chars for x in shared_chars(spans).collect()}
     assert got == plain_shared(rows, 40)
     assert shared_spans(df.limit(0)).count() == 0
 
 
+def test_shared_of_giant_texts(spark):
+    """Production parameters over texts of a million characters and more."""
+    r = random.Random(9)
+    vocab = ["".join(r.choices("abcdefghijé日", k=r.randrange(2, 9))) for _ in range(500)]
+    def text(n):
+        return "".join(r.choice(vocab) + r.choice([" ", " ", " ", ". ", "\n"]) for _ in range(n))
+    a, b = text(200_000), text(200_000)
+    mixed = a[300_000:420_000] + "#" + b[5_000:5_119] + "#" + b[9_000:9_120] + "#" + b[-50_000:]
+    rows = [(1, a), (2, b), (3, mixed), (4, a[65_000:66_000])]
+    got = {x.doc_id: x.shared_chars for x in shared_chars(shared_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: 121_000, 2: 50_120, 3: 120_000 + 120 + 50_000, 4: 1_000}
+
+
 def test_sentence_spans(spark):
     a = "One is here. Two is there. Three goes on. Four ends it. "
     rows = [(1, a + "Five alone."), (2, "Start now. " + a), (3, "Two is there. Three goes on. Odd one."), (4, None), (5, ""), (6, a)]
