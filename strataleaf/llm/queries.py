@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataleaf.llm import sql
 from strataleaf.llm.encoding import encode_corpus
-from strataleaf.llm.leakage import leaked_documents
+from strataleaf.llm.leakage import leaked_documents, without_leaks
 from strataleaf.llm.nearcopies import near_copies
 from strataleaf.llm.spans import sentence_spans, shared_chars, shared_spans
 from strataleaf.llm.splitting import split_nodes
@@ -29,6 +29,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus without its leaked passages."""
+    return without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_chars(shared_spans(table(spark, d, "documents")))
 
@@ -37,5 +42,5 @@ def p9_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     return sentence_spans(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_ids, p8_found, p9_found, p9_sentence_spans)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p7_ids, p8_found, p8_cleaned, p9_found, p9_sentence_spans)}
 SQL: dict[str, str] = {**sql.SQL}

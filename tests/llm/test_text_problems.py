@@ -9,7 +9,7 @@ import pytest
 
 from strataleaf.llm import queries
 from strataleaf.llm.encoding import TOKENIZERS, decode, encode_corpus, encoder
-from strataleaf.llm.leakage import SuffixAutomaton, leaked_documents, without_leaks
+from strataleaf.llm.leakage import LeakFinder, leaked_documents, without_leaks
 from strataleaf.llm.nearcopies import near_copies
 from strataleaf.llm.spans import sentence_spans, shared_chars, shared_spans
 from strataleaf.llm.splitting import pieces, split_files, split_nodes, split_texts
@@ -144,31 +144,46 @@ def test_encoding_of_a_giant_text(spark):
         assert got[i] == enc.encode_ordinary(text)
 
 
-def test_suffix_automaton():
+@pytest.mark.parametrize("shard", [12, 1000])
+def test_suffix_automaton(shard):
     r = random.Random(3)
-    items = [[r.randrange(4) for _ in range(r.randrange(1, 30))] for _ in range(6)]
-    a = SuffixAutomaton(items)
+    items = [[str(r.randrange(4)) for _ in range(r.randrange(1, 30))] for _ in range(6)]
+    f = LeakFinder(list(enumerate(items)), 5, shard)
     for _ in range(200):
-        seq = [r.randrange(-1, 4) for _ in range(40)]
-        runs = {tuple(seq[i : i + 5]) for i in range(36)}
+        text = [str(r.randrange(5)) for _ in range(40)]
+        runs = {tuple(text[i : i + 5]) for i in range(36)}
         want = {k for k, s in enumerate(items) if any(tuple(s[i : i + 5]) in runs for i in range(len(s) - 4))}
-        bits, _ = a.found(seq, 5)
-        assert {k for k in range(6) if bits >> k & 1} == want
+        hits, spans = f.found(f.numbered(" ".join(text), "", "")[0])
+        assert {k for _, k in hits} == want
+        covered = {i for a, z in spans for i in range(a, z)}
+        assert covered == {j for i in range(36) if any(tuple(text[i : i + 5]) == tuple(s[k : k + 5]) for s in items for k in range(len(s) - 4)) for j in range(i, i + 5)}
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("size,pass_words,shard", [(1 << 16, 1 << 21, 1 << 17), (50, 30, 13), (31, 1000, 20)])
+def test_leaks(spark, size, pass_words, shard):
+    how = {"size": size, "pass_words": pass_words, "shard_words": shard}
     one = "The quick brown fox jumps over the lazy dog near the old river bank today"
     items = spark.createDataFrame([(1, one, "q"), (2, "Other words " * 3, "q"), (3, None, "q"), (4, "before " + one, "q")], "item_id long, text string, `doc_id` string")
     docs = [(1, one.upper()), (2, "xx " + ", ".join(one.split()[2:14]) + " yy"), (3, " ".join(one.split()[:11])), (4, None), (5, ""), (6, "other words " * 8), (1, one.upper())]
+    docs += [(7, "é日 " * 30 + ("-" * 70).join(one.split()) + " 日é" * 30 + "u" * 200)]
     df = spark.createDataFrame([(a, b, 7) for a, b in docs], "doc_id long, text string, `item_id` int")
-    assert {tuple(x) for x in leaked_documents(df, items).collect()} == {(1, 1), (1, 4), (2, 1), (2, 4)}
-    assert leaked_documents(df, items, least=6).filter("doc_id = 6 and item_id = 2").count() == 1
-    assert leaked_documents(df, items.limit(0)).count() == 0
-    assert leaked_documents(df.limit(0), items).count() == 0
-    with pytest.raises(ValueError):
-        leaked_documents(df, items, max_eval_chars=10)
-    left = {x.doc_id: (x.text, x.n_removed) for x in without_leaks(df, items, max_share=0.9).collect()}
-    assert left[2] == ("xx  yy", 12) and left[4] == (None, 0) and 1 not in left
+    assert {tuple(x) for x in leaked_documents(df, items, **how).collect()} == {(1, 1), (1, 4), (2, 1), (2, 4), (7, 1), (7, 4)}
+    assert leaked_documents(df, items, least=6, **how).filter("doc_id = 6 and item_id = 2").count() == 1
+    assert leaked_documents(df, items.limit(0), **how).count() == 0
+    assert leaked_documents(df.limit(0), items, **how).count() == 0
+    left = {x.doc_id: (x.text, x.n_removed) for x in without_leaks(df, items, max_share=0.9, **how).collect()}
+    assert left[2] == ("xx  yy", 12) and left[4] == (None, 0) and 1 not in left and left[5] == ("", 0)
+    assert left[7] == ("é日 " * 30 + " 日é" * 30 + "u" * 200, 15)
+    assert without_leaks(df, items.limit(0), **how).count() == len(docs)
+
+
+def test_many_items():
+    """Memory of the automata that are sent at once: 200,000 words of items, the bytes a word as stated."""
+    r = random.Random(1)
+    f = LeakFinder([(i, [f"w{r.randrange(30_000)}" for _ in range(100)]) for i in range(2_000)], 12)
+    held = sum(x.nbytes for _, a in f.shards for x in vars(a).values() if hasattr(x, "nbytes"))
+    assert len(f.shards) == 2 and held < 70 * 200_000
+    assert f.found(f.numbered("w1 w2", "", "")[0]) == ([], [])
 
 
 def plain_shared(rows, n):
