@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataleaf.functions.ids import micros
 from strataleaf.operators.slices import HOT_ROWS, SLICES, add_slices
+from strataleaf.session import materialise
 
 
 def content_digest(c: str | Column) -> Column:
@@ -30,21 +31,12 @@ def latest_versions(versions: DataFrame, *fields: str) -> DataFrame:
     )
 
 
-def version_periods(versions: DataFrame, hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
-    """Whole history of each node: (node_id, version_id, from_us, to_us, is_current), one row per period.
+_FIELDS = ("node_id", "eff", "created", "version_number", "arch", "digest")
 
-    Type-two merge over the whole log at once: the digest of each version is compared with the one in force
-    before it; a changed one closes the running period with its own start and opens the next. Stored
-    effective_to and is_current are not read.
 
-    * Several rows of one version_id: the latest updated_at counts.
-    * Rows without node_id, version_id or effective_from are left out.
-    * Versions of a node with one effective_from: the last created counts (tie: greatest version_number,
-      then version_id; a null created_at is the earliest).
-    * ``ARCHIVED`` ends the running period and starts none. Equal content prolongs the running period.
-    * to_us is -1 (and is_current true) for a period that nothing ends. An empty table gives no rows.
-    * Nodes with more than ``hot_rows`` versions are cut into ``slices`` along effective_from."""
-    rows = latest_versions(
+def version_rows(versions: DataFrame) -> DataFrame:
+    """What the merge reads of node_versions, one row per version_id: (version_id, updated_at, node_id, eff, created, version_number, arch, digest)."""
+    return latest_versions(
         versions.select(
             "version_id",
             "updated_at",
@@ -55,11 +47,33 @@ def version_periods(versions: DataFrame, hot_rows: int = HOT_ROWS, slices: int =
             F.coalesce(F.col("validity_status") == "ARCHIVED", F.lit(False)).alias("arch"),
             content_digest("content").alias("digest"),
         ),
-        *("node_id", "eff", "created", "version_number", "arch", "digest"),
-    ).filter("node_id is not null and eff is not null")
+        *_FIELDS,
+        "updated_at",
+    )
+
+
+def _periods(rows: DataFrame, hot_rows: int, slices: int) -> DataFrame:
+    """Periods of version rows: at each start of a node the version created last counts."""
     last = F.max(F.struct("created", "version_number", "version_id", "arch", "digest")).alias("v")
-    rows = rows.groupBy("node_id", "eff").agg(last).select("node_id", "eff", "v.version_id", "v.arch", "v.digest")
-    return periods_of(rows, hot_rows, slices)
+    rows = rows.filter("node_id is not null and eff is not null").groupBy("node_id", "eff").agg(last)
+    return periods_of(rows.select("node_id", "eff", "v.version_id", "v.arch", "v.digest"), hot_rows, slices)
+
+
+def version_periods(versions: DataFrame, hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
+    """Whole history of each node: (node_id, version_id, from_us, to_us, is_current), one row per period.
+
+    Type-two merge of the whole log into an empty dimension: the digest of each version is compared with the one in
+    force before it; a changed one closes the running period with its own start and opens the next. Stored
+    effective_to and is_current are not read.
+
+    * Several rows of one version_id: the latest updated_at counts.
+    * Rows without node_id, version_id or effective_from are left out.
+    * Versions of a node with one effective_from: the last created counts (tie: greatest version_number,
+      then version_id; a null created_at is the earliest).
+    * ``ARCHIVED`` ends the running period and starts none. Equal content prolongs the running period.
+    * to_us is -1 (and is_current true) for a period that nothing ends. An empty table gives no rows.
+    * Nodes with more than ``hot_rows`` versions are cut into slices along effective_from."""
+    return _periods(version_rows(versions), hot_rows, slices)
 
 
 def periods_of(rows: DataFrame, hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
@@ -93,25 +107,48 @@ def periods_of(rows: DataFrame, hot_rows: int = HOT_ROWS, slices: int = SLICES)
     )
 
 
-def scd2_merge(dimension: DataFrame, batch: DataFrame) -> DataFrame:
-    """The dimension after a batch of snapshots or updates: changed open rows are closed, new ones opened.
-
-    ``dimension``: node_id, version_id, digest, from_us, to_us (-1: open). ``batch``: node_id, version_id,
-    digest, eff, arch, one row per node and eff. Only nodes in the batch are touched: their starts and ends are
-    put in line with the batch's rows again, so a late update lands between periods that are already closed.
-    A null digest never equals another; a batch row with a start that the dimension has replaces that start.
-    An empty batch leaves the dimension as it is; an empty dimension gives the batch's own history."""
-    touched = batch.select("node_id").distinct()
-    cols = ("node_id", "version_id", "digest", "from_us", "to_us")
-    kept = dimension.join(touched, "node_id", "left_anti").select(*cols)
-    old = dimension.join(touched, "node_id", "left_semi").select(*cols)
-    starts = old.select("node_id", F.col("from_us").alias("eff"), "version_id", F.lit(False).alias("arch"), "digest")
-    ends = old.filter("to_us <> -1").select(
-        "node_id", F.col("to_us").alias("eff"), F.lit(None).cast("string").alias("version_id"), F.lit(True).alias("arch"), F.lit(b"").alias("digest")
-    )
-    new = batch.select("node_id", "eff", "version_id", "arch", "digest")
-    ranked = new.withColumn("k", F.lit(2)).unionByName(starts.withColumn("k", F.lit(1))).unionByName(ends.withColumn("k", F.lit(0)))
-    one = ranked.groupBy("node_id", "eff").agg(F.max(F.struct("k", "version_id", "arch", "digest")).alias("v"))
-    merged = periods_of(one.select("node_id", "eff", "v.version_id", "v.arch", "v.digest"))
-    digests = one.select("node_id", F.col("eff").alias("from_us"), F.col("v.digest").alias("digest"))
-    return kept.unionByName(merged.join(digests, ["node_id", "from_us"]).select(*cols))
+def scd2_merge(dimension: DataFrame | None, batch: DataFrame, hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
+    """The dimension after a batch of node_versions rows: what changed is closed, new versions are opened.
+
+    The dimension has a row for each version_id, those included that only prolong a period, lose to another version of
+    the same start or have no start: (version_id, updated_at, node_id, eff, created, version_number, arch, digest, to_us). to_us is
+    the end of the period that the version starts, -1 if open, null if it starts none. ``None`` is an empty dimension.
+
+    * A batch row that isn't newer than the stored row of its version_id is dropped, else it takes that row's place.
+    * Only nodes with such a row are compared again, and of these only what begins with the last period that starts
+      before the batch's (or the replaced rows') first start; for a batch in order that is the current version. Late rows
+      land between periods that are already closed, late archives too.
+    * The result is the same however the log is split into batches; an empty batch changes nothing."""
+    new = version_rows(batch)
+    order = F.struct("updated_at", *_FIELDS)
+    if dimension is None:
+        return _with_ends(new, hot_rows, slices)
+    stored = dimension.select("version_id", order.alias("__old"))
+    new = new.join(stored, "version_id", "left").filter(F.col("__old").isNull() | (order > F.col("__old"))).drop("__old")
+    new = materialise(new, "batch")
+    ids = new.select("version_id")
+    replaced = dimension.join(ids, "version_id", "left_semi").select("node_id", "eff")
+    since = new.select("node_id", "eff").unionByName(replaced).filter("node_id is not null and eff is not null")
+    since = since.groupBy("node_id").agg(F.min("eff").alias("__since"))
+    kept = dimension.join(ids, "version_id", "left_anti").join(since, "node_id", "left")
+    begin = kept.filter("eff < __since and to_us is not null").groupBy("node_id").agg(F.max("eff").alias("__begin"))
+    kept = kept.join(begin, "node_id", "left")
+    again = F.coalesce(F.col("__since").isNotNull() & F.coalesce(F.col("eff") >= F.col("__begin"), F.lit(True)), F.lit(False))
+    kept = materialise(kept.withColumn("__again", again).drop("__since", "__begin"), "kept")
+    redone = _with_ends(kept.filter("__again").select(*new.columns).unionByName(new), hot_rows, slices)
+    return kept.filter("not __again").select(*redone.columns).unionByName(redone)
+
+
+def _with_ends(rows: DataFrame, hot_rows: int, slices: int) -> DataFrame:
+    return rows.join(_periods(rows, hot_rows, slices).select("version_id", "to_us"), "version_id", "left")
+
+
+def merged_by_year(versions: DataFrame) -> DataFrame:
+    """(version_id, from_us, to_us): the log merged into the dimension year by year of updated_at, rows without one first."""
+    year = F.coalesce(F.year("updated_at"), F.lit(0))
+    dimension = None
+    for y in sorted(r[0] for r in versions.select(year.alias("y")).distinct().collect()):
+        dimension = materialise(scd2_merge(dimension, versions.filter(year == y)), "dimension")
+    if dimension is None:
+        dimension = scd2_merge(None, versions)
+    return dimension.filter("to_us is not null").select("version_id", F.col("eff").alias("from_us"), "to_us")

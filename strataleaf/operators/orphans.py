@@ -11,7 +11,8 @@ from strataleaf.functions.ids import micros, norm_id
 from strataleaf.session import materialise
 
 #: A block has 8 words of 64 bits, one bit set in each; at 40 keys a block about 1 in 1,000 absent keys passes.
-WORDS, KEYS_PER_BLOCK, MAX_BLOCKS = 8, 40, 1 << 18
+#: Filters of up to BROADCAST_BLOCKS (18 MB of words, 10.5 million keys) are broadcast.
+WORDS, KEYS_PER_BLOCK, BROADCAST_BLOCKS = 8, 40, 1 << 18
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -32,35 +33,34 @@ def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def filter_size(n_keys: int) -> int:
-    """Blocks for so many keys, never over MAX_BLOCKS (18 MB of words): beyond that the filter lets more keys
-    through to the exact join, it never grows and never errs."""
+    """Blocks for so many keys: the filter grows with them, so it proves the same share of absent keys at any size."""
     want = 1
-    while want * KEYS_PER_BLOCK < n_keys and want < MAX_BLOCKS:
+    while want * KEYS_PER_BLOCK < n_keys:
         want *= 2
     return want
 
 
 def probe(refs: DataFrame, key: str, filter_: DataFrame, blocks: int, flag: str) -> DataFrame:
-    """``refs`` with ``flag``: false proves that the key is absent. The broadcast side has at most MAX_BLOCKS rows."""
+    """``refs`` with ``flag``: false proves that the key is absent. A filter of more than BROADCAST_BLOCKS is
+    partitioned by block and so are the references; hot ones are left to the runtime skew join, as a block is one row."""
     k = F.col(key)
     f = filter_.select(F.col("block").alias("__block"), *[F.col(f"w{i}").alias(f"__w{i}") for i in range(WORDS)])
     hit = reduce(lambda a, b: a & b, [F.col(f"__w{i}").bitwiseAND(m) == m for i, m in enumerate(_masks(k))])
-    out = refs.join(F.broadcast(f), _block(k, blocks) == F.col("__block"), "left")
+    out = refs.join(F.broadcast(f) if blocks <= BROADCAST_BLOCKS else f, _block(k, blocks) == F.col("__block"), "left")
     return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__block", *[f"__w{i}" for i in range(WORDS)])
 
 
 def references(edges: DataFrame, metadata: DataFrame) -> DataFrame:
     """(ref_table, ref_field, row_id, key, at): each reference once; null, blank and ``entity:`` ones are none."""
 
-    def of(table: DataFrame, name: str, field: str, row_id: str, at: str) -> DataFrame:
-        return table.select(
-            F.lit(name).alias("ref_table"), F.lit(field).alias("ref_field"), F.col(row_id).alias("row_id"), norm_id(field).alias("key"), micros(at).alias("at")
-        )
+    def of(table: DataFrame, name: str, row_id: str, at: str, *fields: str) -> DataFrame:
+        refs = F.explode(F.array(*[F.struct(F.lit(f).alias("ref_field"), norm_id(f).alias("key")) for f in fields])).alias("r")
+        rows = table.select(F.col(row_id).alias("row_id"), micros(at).alias("at"), refs)
+        return rows.select(F.lit(name).alias("ref_table"), "r.ref_field", "row_id", "r.key", "at")
 
     parts = [
-        of(edges, "apex_causal_edges", "source_node_id", "edge_id", "discovered_at"),
-        of(edges, "apex_causal_edges", "target_node_id", "edge_id", "discovered_at"),
-        of(metadata, "apex_temporal_metadata", "superseded_by", "node_id", "updated_at"),
+        of(edges, "apex_causal_edges", "edge_id", "discovered_at", "source_node_id", "target_node_id"),
+        of(metadata, "apex_temporal_metadata", "node_id", "updated_at", "superseded_by"),
     ]
     return reduce(DataFrame.unionByName, parts).filter(F.col("key").isNotNull() & ~F.col("key").startswith("entity:"))
 

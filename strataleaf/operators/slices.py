@@ -2,7 +2,7 @@
 
 Windows over a key put all its rows into one task. A key may hold a third of a table, so keys above a row
 limit are cut into slices at approximate quantiles of the ordering column; windows then run per (key, slice)
-and a summary of at most ``slices`` rows a key carries what neighbouring slices must know of each other.
+and a summary of a row a slice carries what neighbouring slices must know of each other.
 Slices are monotone in the ordering column, so results don't depend on where the cuts fall."""
 
 from __future__ import annotations
@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
-SLICES = 64
+#: Slices a key may have; it gets as many as it needs for slices of half of HOT_ROWS.
+SLICES = 1024
 
 
 def add_slices(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
     """``df`` with ``slice_id`` (0-based, growing with ``order``) and ``hot`` (the key was cut).
 
-    Keys with at most ``hot_rows`` rows get slice 0. There are at most rows/hot_rows hot keys, each with a
-    fixed number of cuts, so the runtime planner broadcasts them if they are few and else joins by shuffle."""
-    cuts = F.percentile_approx(order, [i / slices for i in range(1, slices)], 1000)
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select(key)
-    hot = df.join(hot, key, "left_semi").groupBy(key).agg(cuts.alias("__cuts"))
+    Keys with at most ``hot_rows`` rows get slice 0. There are at most rows/hot_rows hot keys, each with as many
+    cuts as its rows ask for, so the runtime planner broadcasts them if they are few and else joins by shuffle."""
+    cuts = F.percentile_approx(order, [i / slices for i in range(1, slices)], 10 * slices)
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows)
+    hot = df.join(hot, key, "left_semi").groupBy(key).agg(cuts.alias("__all"), F.count(F.lit(1)).alias("__n"))
+    step = F.greatest(F.floor(F.lit(slices * hot_rows / 2) / F.col("__n")), F.lit(1))
+    hot = hot.select(key, F.filter("__all", lambda c, i: (i + 1) % step == 0).alias("__cuts"))
     return (
         df.join(hot, key, "left")
         .withColumn("hot", F.col("__cuts").isNotNull())

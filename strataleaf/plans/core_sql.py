@@ -47,6 +47,7 @@ from l left join t on t.k = l.k left join c on c.a = l.k"""
 
 SQL = {
     "p1_found": f"select version_id, from_us, to_us from ({_P1})",
+    "p1_merged": f"select version_id, from_us, to_us from ({_P1})",
     "p1_current": f"select node_id, version_id, from_us from ({_P1}) where to_us = -1",
     "p2_found": P2,
     "p2_report": f"select ref_table, ref_field, reason, period, count(*) as n_refs from ({P2}) group by all",
