@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataleaf.session import materialise
+from strataleaf.session import drop, materialise
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("p"))
         small = small.select(F.col("p.v").alias("u"), F.col("p.m").alias("v")).filter("u <> v").distinct()
-        e = materialise(small, "edges")
+        before, e = e, materialise(small, "edges")
+        drop(before)
         now = _mark(e)
         if now == mark:
             break

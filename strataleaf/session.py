@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[str] = []
+_MADE: list[tuple[SparkSession, str]] = []
+_TOLD: set[str] = set()
 _OWN: dict[str, str] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,39 +34,66 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see. The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder takes its place."""
+    """The folder all executors see, as the cluster names it in spark.checkpoint.dir. Only a local session that names
+    none gets a temporary folder; any other raises RuntimeError, as executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="strataleaf-")
-            _MADE.append(_OWN[app])
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
         base = _OWN[app]
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that is removed when this process ends, or before by :func:`drop`."""
+    path = f"{shared_folder(spark)}/strataleaf-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append((spark, path))
+    return path
+
+
 def store(df: DataFrame, name: str = "t") -> str:
-    """Write ``df`` as a table in the shared folder; its path. The shuffle files of what was written go at once."""
+    """Write ``df`` as a table in the shared folder; its path. The session is told once to
+    remove shuffle files as soon as a query is over, so those of what was written go at once."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strataleaf-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
-    old = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN) if old is None else spark.conf.set(_CLEAN, old)
-    _MADE.append(path)
+    if spark.sparkContext.applicationId not in _TOLD:
+        _TOLD.add(spark.sparkContext.applicationId)
+        spark.conf.set(_CLEAN, "true")
+    path = new_path(spark, name)
+    df.write.parquet(path)
     return path
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """:func:`store` ``df`` and read it back: lineage ends there, so a lost executor costs a re-read and not a
-    recomputation. The folder of this process is removed when it ends."""
-    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
+    recomputation. ``stored_at`` of the result is its path."""
+    path = store(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame | str) -> None:
+    """Remove stored tables that nothing reads any more, through the file system they are in."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "stored_at", None)
+        for entry in [e for e in _MADE if e[1] == path]:
+            _MADE.remove(entry)
+            _remove(*entry)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for path in _MADE:
-        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    for spark, path in _MADE:
+        try:
+            _remove(spark, path)
+        except Exception:  # the session has ended before; a local folder can still be removed
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from strataleaf.session import shared_folder
+from strataleaf.session import new_path
 
 
 def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -25,10 +25,8 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     """Process what is there in micro-batches and return the result as a table in the shared folder. Batches are
     written to folders by their number, so a batch that is repeated after a failure replaces itself; in complete
     mode the last batch is the result."""
-    import uuid
-
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
+    base = new_path(spark, f"stream-{name}")
 
     def write(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={no if mode == 'append' else 0}")
