@@ -1,4 +1,7 @@
-"""Groups of near-copies by a generalised pigeonhole over the bits of hashed word triples."""
+"""Groups of near-copies by the pigeonhole principle over the bits of hashed word triples.
+
+The general form, multi-bit parts of correlated bits with unequal thresholds, was measured and costs more (README), so parts are
+single bits here, with threshold 0 where they are probed and -1 where they are not."""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ from strataleaf.session import materialise
 #: Likeness is at least TENTHS/10; words in a shingle; words a text needs.
 TENTHS, SHINGLE, MIN_WORDS = 7, 3, 20
 #: Cells of the frequency table; rows of a bucket from which it is cut into blocks of about that size.
-CELLS, HOT = 1 << 20, 50_000
+CELLS, HOT = 1 << 20, 4_000
 
 
 class _Numbers(dict):
@@ -73,14 +76,14 @@ def _set_rows(batches: Iterator[pa.RecordBatch], k: int, least: int, with_bits:
         out = [*b.columns[:-1], pa.array(ids, mask=count == 0)]
         names = [*b.schema.names[:-1], "set_id"]
         if with_bits:
-            bits = pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            bits = pa.array(h.view(np.int64))
             out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), bits))
             names.append("bits")
         yield pa.RecordBatch.from_arrays(out, names=names)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], cost: np.ndarray, tenths: int) -> Iterator[pa.RecordBatch]:
-    """(set_id, component, bits) to a row for each bit with threshold 0: the n - ceil(t·n) + 1 cheapest bits."""
+    """(set_id, component, bits) to a row for each bit that is probed: the n - ceil(t·n) + 1 cheapest bits."""
     for b in batches:
         lists = b.column(2)
         n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -91,7 +94,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], cost: np.ndarray, tenths: int
         rank = np.arange(len(bits)) - np.repeat(np.cumsum(n) - n, n)
         take = order[rank < (n - (tenths * n + 9) // 10 + 1)[own]]
         masks = np.zeros((len(n), 2), np.uint64)
-        place = _mix(bits.view(np.uint32).astype(np.uint64)) % np.uint64(128)
+        place = _mix(bits.view(np.uint64)) % np.uint64(128)
         np.bitwise_or.at(masks, (own, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
         at = own[take]
         yield pa.RecordBatch.from_arrays(
@@ -197,7 +200,7 @@ def _crossing(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Rec
         yield _pairs(ids, np.concatenate(left), np.concatenate(right))
 
 
-_SIGNATURE = "bit int, set_id long, component long, n int, mask long, mask2 long, price long"
+_SIGNATURE = "bit long, set_id long, component long, n int, mask long, mask2 long, price long"
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
@@ -209,21 +212,20 @@ def _alike(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
 
 
 def alike_sets(sets: DataFrame, tenths: int = TENTHS, hot: int = HOT) -> DataFrame:
-    """(node, component) of the sets (set_id, bits) that are like another; exact up to hash collisions.
+    """(node, component) of the sets (set_id, bits) that are like another. Bits and sets are told apart by 64-bit hashes: a
+    verdict can be wrong only if two triples of a pair collide, about n·n / 2^64, and only in a pair at the limit.
 
-    Generalised pigeonhole: two sets with likeness t differ in at most n - ceil(t·n) of a set's n bits, so if
-    thresholds that sum to that allow one bit more, some part of the bits stays within its threshold. Parts are
-    single bits (correlated ones would only match less), thresholds are 0 or -1 (not probed), and as the costs
-    then add up, the allocation that dynamic programming finds is the n - ceil(t·n) + 1 bits with the least
-    estimated candidates; the estimate is one table of CELLS counts over all sets, the same for all, which makes
-    both sides choose from one order. Probed rows meet in buckets by bit.
+    Pigeonhole: two sets with likeness t differ in at most n - ceil(t·n) of a set's n bits, so among any bits one more
+    than that is one which both have, if both take them from one order of all bits. The order is by estimated candidates, from
+    one table of CELLS counts over all sets, so the bits that are probed are the rarest. As parts are single bits, which can
+    only match or not, there is no allocation to be optimised beyond that choice. Probed rows meet in buckets by bit.
 
     First each row of a bucket is verified against the bucket's first and the two before it, and components are
     found; near-copies by the thousand collapse here with a few links each. Then all pairs of a bucket between
     different components that sizes and masks allow are verified: no pair is lost, and none within a component
     is looked at. Buckets over ``hot`` rows are cut into blocks; the blocks' first rows are linked with each
     other, and in the second step each two blocks meet in a bucket of their own."""
-    cells = sets.select(F.explode("bits").alias("b")).groupBy(F.col("b").bitwiseAND(F.lit(CELLS - 1)).alias("c")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    cells = sets.select(F.explode("bits").alias("b")).groupBy(F.col("b").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("c")).agg(F.count(F.lit(1)).cast("int").alias("n"))
     cells = cells.toArrow()
     cost = np.zeros(CELLS, np.int32)
     cost[cells["c"].to_numpy()] = cells["n"].to_numpy()
@@ -287,7 +289,7 @@ def near_copies(versions: DataFrame, tenths: int = TENTHS, shingle: int = SHINGL
     keyed = src.mapInArrow(lambda it: _set_rows(it, shingle, least, False), kind)
     member = keyed.groupBy("version_id").agg(F.max(F.struct("updated_at", "set_id")).alias("v")).select("version_id", "v.set_id")
     member = materialise(member.filter("set_id is not null"), "members")
-    found = src.select("content").mapInArrow(lambda it: _set_rows(it, shingle, least, True), "set_id long, bits array<int>")
+    found = src.select("content").mapInArrow(lambda it: _set_rows(it, shingle, least, True), "set_id long, bits array<long>")
     sets = found.filter("set_id is not null").groupBy("set_id").agg(F.first("bits").alias("bits"))
     sets = materialise(sets.join(member.select("set_id").distinct(), "set_id", "left_semi"), "sets")
     label = alike_sets(sets, tenths, hot).withColumnRenamed("node", "set_id")
