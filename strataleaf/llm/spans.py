@@ -31,6 +31,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _of_chars(code: np.ndarray) -> np.ndarray:
+    return _mixed(code.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+
+
+_CHARS = _of_chars(np.arange(1 << 16))
+
+
 class Hashed:
     """Polynomial hashes of all runs of some texts' ranges, laid end to end. Runs begin in a range's own characters
     and may end in its halo."""
@@ -48,7 +55,10 @@ class Hashed:
         n = int(self.sizes.sum())
         up, self.down = self._pow(n + 1)
         self.code = np.concatenate(code) if n else np.empty(0, np.uint32)
-        x = _mixed(self.code.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+        x = _CHARS[np.minimum(self.code, 0xFFFF)] if n else np.empty(0, np.uint64)
+        if n and int(self.code.max()) > 0xFFFF:
+            high = self.code > 0xFFFF
+            x[high] = _of_chars(self.code[high])
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(x * up[:n], out=self.sums[1:])
 
@@ -97,26 +107,25 @@ class Hashed:
         n = len(self.sums) - 1
         if n < stretch:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.arange(n - anchor + 1)
-        val, idx, width, k = self.runs(at, at + anchor), at, stretch - anchor + 1, 1
-        while 2 * k <= width:
-            val, idx = _least(val[:-k], idx[:-k], val[k:], idx[k:])
-            k *= 2
+        m, width = n - anchor + 1, stretch - anchor + 1
+        # 40 bits of a hash that need only be well spread, then the place, so the least is the leftmost
+        h = (self.sums[anchor:] - self.sums[:m]) * self.down[:m]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        packed = np.full(-(-m // width) * width, np.uint64(2**64 - 1))
+        packed[:m] = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(m, dtype=np.uint64)
+        rows = packed.reshape(-1, width)
+        head = np.minimum.accumulate(rows, axis=1).ravel()
+        tail = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         m = n - stretch + 1
-        val, idx = _least(val[:m], idx[:m], val[width - k : width - k + m], idx[width - k : width - k + m])
+        least = np.minimum(tail[:m], head[width - 1 : width - 1 + m])
         last = self.starts + np.minimum(self.sizes - stretch, self.own - 1)
         ok = np.flatnonzero(np.arange(m) <= np.repeat(last, self.sizes)[:m])
-        return ok, idx[ok]
+        return ok, (least[ok] & np.uint64(0xFFFFFF)).astype(np.int64)
 
     def doc_of(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, place, side="right") - 1
 
 
-def _least(a, ai, b, bi):
-    less = b < a
-    return np.where(less, b, a), np.where(less, bi, ai)
-
-
 def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Hashed]]:
     """Ranges (doc_id, no, ended, raw, ..) in groups of about BATCH_CHARS characters, with their hashes."""
     for b in batches:
@@ -157,17 +166,24 @@ def _hashes(batches: Iterator[pa.RecordBatch], size: int, stretch: int, anchor:
         yield pa.RecordBatch.from_arrays([_signed(h), pa.array(b.column("doc_id").to_numpy()[doc])], names=["hash", "doc_id"])
 
 
-_RUN = "hash long, doc_id long, no int, own int, lo int, hi int, around long"
+_RUN = "hash long, doc_id long, no int, own int, lo int, hi int, around long, place int, left long, right long"
 
 
 def _rows(batches: Iterator[pa.RecordBatch], size: int, stretch: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Sentence runs (``around`` null) and anchors with what their windows cover, [lo, hi) from the range's start."""
+    """Sentence runs (``around`` null) and anchors with what their windows cover, [lo, hi) from the range's start. A window
+    with an anchor at ``place`` has half of its other characters before or behind: ``left`` and ``right`` are the
+    hashes of the anchor with so many before or behind (0 where the text has fewer)."""
+    half = (stretch - anchor) // 2
     for b, t in _groups(batches, size):
         lo, hi = t.sentence_runs(stretch)
-        place, left, right = _owned(t, stretch, anchor)
+        place, begin, end = _owned(t, stretch, anchor)
         h = np.concatenate([t.runs(lo, hi), t.runs(place, place + anchor)])
-        around = np.concatenate([np.zeros(len(lo), np.uint64), t.runs(left, right)])
-        begin, end = np.concatenate([lo, left]), np.concatenate([hi, right])
+        none = np.zeros(len(lo), np.uint64)
+        around = np.concatenate([none, t.runs(begin, end)])
+        left = np.where(place - half >= begin, t.runs(np.maximum(place - half, begin), place + anchor), np.uint64(0))
+        right = np.where(place + anchor + half <= end, t.runs(place, np.minimum(place + anchor + half, end)), np.uint64(0))
+        place = np.concatenate([lo, place])
+        begin, end = np.concatenate([lo, begin]), np.concatenate([hi, end])
         doc = t.doc_of(begin)
         yield pa.RecordBatch.from_arrays(
             [
@@ -175,8 +191,10 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int, stretch: int, anchor: in
                 *(pa.array(b.column(c).to_numpy()[doc]) for c in ("doc_id", "no")),
                 *(pa.array(x.astype(np.int32)) for x in (t.own[doc], begin - t.starts[doc], end - t.starts[doc])),
                 pa.array(around.view(np.int64), mask=np.arange(len(begin)) < len(lo)),
+                pa.array((place - t.starts[doc]).astype(np.int32)),
+                *(_signed(np.concatenate([none, x])) for x in (left, right)),
             ],
-            names=["hash", "doc_id", "no", "own", "lo", "hi", "around"],
+            names=["hash", "doc_id", "no", "own", "lo", "hi", "around", "place", "left", "right"],
         )
 
 
@@ -220,32 +238,39 @@ def shared_spans(docs: DataFrame, stretch: int = MIN_CHARS, anchor: int = ANCHOR
     A stretch that counts needn't hold a whole sentence, so what runs can't prove is checked: (2) ``anchors``: each window of
     ``stretch`` characters has an anchor in it, where it is in any text; anchors in two documents are found in the same
     aggregation, what the windows of one cover together is hashed, and if it stands in two documents, it is shared
-    whole. (3) ``windows``: where it isn't, and no run of sentences covers it, each window is hashed and looked up, in these
-    documents and in two documents for each run of (2) with such an anchor (two, as one of them may be the document that looks).
-    Only documents with a run or an anchor in common with another are read a second time."""
+    whole. (3) ``windows``: where it isn't, and no run of sentences covers it, a window that is shared has half of what it
+    has besides the anchor on one side of it; if the anchor with that half stands in two documents, each window on that side is
+    hashed and looked up, in these documents and in two documents for each run of (2) with that half (two, as one of
+    them may be the document that looks)."""
     if size < 16 * stretch + LEAD:
         raise ValueError("a range is shorter than its halo")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull() & (F.length("text") >= stretch))
     cut = byte_ranges(docs, "text", size, 16 * stretch).select("doc_id", "no", "ended", "raw")
-    first = materialise(cut.mapInArrow(lambda it: _hashes(it, size, stretch, anchor), "hash long, doc_id long"), "hashes")
+    first = cut.mapInArrow(lambda it: _hashes(it, size, stretch, anchor), "hash long, doc_id long")
     known = materialise(_repeated(first, "hash"), "known")
-    some = materialise(only_in(first, known, "hash").select("doc_id").distinct(), "documents")
-    texts = materialise(only_in(docs, some, "doc_id"), "texts")
-    cut = byte_ranges(texts, "text", size, 16 * stretch).select("doc_id", "no", "ended", "raw")
     rows = cut.mapInArrow(lambda it: _rows(it, size, stretch, anchor), _RUN)
     rows = materialise(only_in(rows, known, "hash"), "found")
 
     spans = rows.filter("around is null")
     proven = F.max(F.when(F.col("around").isNull(), F.col("hi"))).over(Window.partitionBy("doc_id", "no").orderBy("lo"))
     rows = materialise(rows.withColumn("covered", F.coalesce(proven >= F.col("hi"), F.lit(False))).filter("around is not null"), "anchors")
-    ends = rows.groupBy("hash", "around").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_and("covered").alias("covered"))
-    ends = materialise(ends.withColumn("proven", F.col("a") != F.col("b")), "around")
-    lone = ends.filter(~F.col("proven") & ~F.col("covered")).select("hash").distinct()
-    looked_up = ends.join(lone, "hash", "left_semi").select("hash", "around", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id"))
-    asked = rows.join(looked_up, ["hash", "around", "doc_id"], "left_semi").groupBy("doc_id", "no")
+    ends = rows.groupBy("hash", "around").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    ends = materialise(ends.select("hash", "around", (F.col("a") != F.col("b")).alias("proven")), "around")
+
+    half = (stretch - anchor) // 2
+    side = lambda h, lo, hi: F.struct(F.col(h).alias("half"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    before = side("left", F.col("lo"), F.least(F.col("hi"), F.col("place") - half + stretch))
+    behind = side("right", F.greatest("lo", F.col("place") - half + 1), F.col("hi"))
+    sides = rows.join(ends, ["hash", "around"]).select("doc_id", "no", "around", (~F.col("proven") & ~F.col("covered")).alias("asks"), F.explode(F.array(before, behind)).alias("s"))
+    sides = materialise(sides.select("doc_id", "no", "around", "asks", "s.*").filter(f"half <> 0 and hi - lo >= {stretch}"), "sides")
+    wanted = sides.groupBy("half").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or("asks").alias("asks")).filter("a <> b and asks").select("half")
+    cand = sides.join(wanted, "half", "left_semi").groupBy("half", "around").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    cand = cand.select("half", "around", F.explode(F.array_distinct(F.array("a", "b"))).alias("doc_id"))
+    asked = sides.join(cand, ["half", "around", "doc_id"], "left_semi").groupBy("doc_id", "no")
     asked = materialise(asked.agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "edges")
-    windows = cut.join(asked, ["doc_id", "no"]).select("doc_id", "no", "ended", "raw", "los", "his")
-    windows = materialise(windows.mapInArrow(lambda it: _windows(it, size, stretch), "hash long, doc_id long, no int, own int, lo int"), "windows")
+    texts = byte_ranges(only_in(docs, asked.select("doc_id").distinct(), "doc_id", exact=False), "text", size, 16 * stretch).join(asked, ["doc_id", "no"])
+    windows = texts.select("doc_id", "no", "ended", "raw", "los", "his").mapInArrow(lambda it: _windows(it, size, stretch), "hash long, doc_id long, no int, own int, lo int")
+    windows = materialise(windows, "windows")
     single = windows.join(_repeated(windows, "hash"), "hash", "left_semi")
     whole = rows.join(ends.filter("proven"), ["hash", "around"], "left_semi")
     at = ("doc_id", "no", "own", "lo")
