@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 _FORM = "Corporation|Corp|Inc|LLC|Ltd|PLC|GmbH|SA|NV|AG|Co|Group"
@@ -14,14 +18,14 @@ PATTERNS: dict[str, tuple[str, int, int]] = {
     "regulation": (r"(?i)\b(GDPR|HIPAA|SOX|PCI|DSS|ISO\s*\d+|FASB|IFRS|GAAP|ESG|KYC|AML|CCPA|ADA|OSHA|EPA)\b", 1, 1),
     "person": (r"\b(?:Dr\.|Mr\.|Mrs\.|Ms\.|Prof\.)?\s*([A-Z][a-z]+\s[A-Z][a-z]{1,20})\b", 1, 1),
     "date_range": (r"(?i)(?:from|between)\s+(\d{4}(?:-\d{2}-\d{2})?)\s+(?:to|and|through)\s+(\d{4}(?:-\d{2}-\d{2})?)", 1, 2),
-    "policy": (r"(?i)([A-Z][A-Za-z\s]{2,50}?)\s+(?:shall|must|will|should|may|is\s+required\s+to)\s+(.{5,200}?)(?:\.|;|$)", 1, 2),
+    "policy": (r"(?im)([A-Z][A-Za-z\s]{2,50}?)\s+(?:shall|must|will|should|may|is\s+required\s+to|is\s+responsible\s+for)\s+(.{5,200}?)(?:\.|;|$)", 1, 2),
     "cross_reference": (r"(?i)(?:see|cf\.|refer\s+to|as\s+mentioned\s+in|per|vide)\s+((?:§|Section|Sec\.|Chapter|Ch\.|Appendix|Fig\.|Table|Figure)\s*\d+(?:\.\d+)*)", 1, 1),
     "citation": (r"\(([A-Z][a-zA-Z]+(?:\s+et\s+al\.?)?),\s*(\d{4})\)", 1, 2),
     "metric_word": (r"(?i)\b(Revenue|Profit|Margin|EPS|EBITDA|Net\sIncome|Operating\sIncome|Gross\sMargin|Growth|Cost|Expense|Tax|Dividend|Yield)\b", 1, 1),
     "organization": (rf"\b([A-Z][a-zA-Z]+(?:\s(?!(?:{_FORM})\b)[A-Z][a-zA-Z]+)*)\s+({_FORM})\b", 1, 2),
     "product": (r"\b([A-Z][a-zA-Z]+(?:[A-Z][a-z]+)+|\w*(?:Widget|Tool|System|Platform|Suite|Engine))\b", 1, 1),
     "event": (rf"(?i)(?:on|in|during)\s+(\d{{4}}-\d{{2}}-\d{{2}}|Q[1-4]\s+\d{{4}}|(?:{_MONTH})\s+\d{{1,2}},?\s+\d{{4}})\s*,?\s*(.{{5,150}}?)(?:\.|;|$)", 1, 2),
-    "contract_term": (r"(?i)(Term|Duration|Period|Payment|Notice|Cancellation)\s*[:=]?\s*(.{5,100}?)(?:\.|;|$)", 1, 2),
+    "contract_term": (r"(?im)(Term|Duration|Period|Payment|Notice|Cancellation)\s*[:=]?\s*(.{5,100}?)(?:\.|;|$)", 1, 2),
     "metric": (r"(?i)([A-Za-z\s]{2,40}?)\s*(?:is|was|were|:|=)\s*([₹$€£¥]?\s*[\d,]+\.?\d*\s*[kKmMbBtT%]?)", 1, 2),
     "currency": (r"\$[\d,]+(?:\.\d+)?", 0, 0),
     "percentage": (r"\d+\.?\d*\%", 0, 0),
@@ -29,6 +33,7 @@ PATTERNS: dict[str, tuple[str, int, int]] = {
     "iso_date": (r"\b(\d{4}-\d{2}-\d{2})\b", 1, 1),
     "long_date": (rf"\b(\d{{1,2}}\s+(?:{_MONTH})\s+\d{{4}})\b", 1, 1),
 }
+# Words that deny.
 NEGATIONS = [
     r"\bnot\b", r"\bno longer\b", r"\bwas repealed\b", r"\bhas been revised\b", r"\bwas rescinded\b", r"\bhas been overturned\b",
     r"\bis no longer valid\b", r"\bis hereby\s+(?:revoked|cancelled|terminated)\b", r"\bcontradict(?:s|ed)?\b", r"\binstead\b", r"\bhowever\b",
@@ -39,16 +44,32 @@ def matches(rows: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """(key, match_no, subject, object) of each match in order; null texts have none. Letters, digits and blanks
     are Unicode's, as in the patterns' own dialect."""
     pattern, a, b = PATTERNS[kind]
-    pattern = f"(?U){pattern}"
+    pattern = f"(?Ud){pattern}"  # Unicode's classes; only \n ends a line
     get = lambda g: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g))
     pairs = rows.select(key, F.posexplode(F.arrays_zip(get(a).alias("a"), get(b).alias("b"))).alias("match_no", "m"))
     return pairs.select(key, F.col("match_no").cast("long").alias("match_no"), F.col("m.a").alias("subject"), F.col("m.b").alias("object"))
 
 
 def all_facts(rows: DataFrame, key: str, text: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
-    """Matches of several kinds with deterministic ids, so that a repeated run appends the same facts."""
-    parts = [matches(rows, key, text, k).withColumn("kind", F.lit(k)) for k in kinds]
-    out = reduce(DataFrame.unionByName, parts)
+    """Matches of several kinds, (key, match_no, subject, object, kind, fact_id), in one scan of the texts. Ids are made from
+    what is matched, so that a repeated run appends the same facts. Null texts have none."""
+    schema = T.StructType([rows.schema[key], *T._parse_datatype_string("match_no long, subject string, object string, kind string").fields])
+    arrow = pa.schema([("match_no", pa.int64()), ("subject", pa.string()), ("object", pa.string()), ("kind", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(k, re.compile(PATTERNS[k][0]), *PATTERNS[k][1:]) for k in kinds]
+        for b in batches:
+            at, out = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for kind, pattern, x, y in compiled if t else ():
+                    found = [(no, m.group(x), m.group(y), kind) for no, m in enumerate(pattern.finditer(t))]
+                    out += found
+                    at += [i] * len(found)
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            found = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *found], names=[key, *arrow.names])
+
+    out = rows.select(key, text).mapInArrow(run, schema)
     return out.withColumn("fact_id", F.sha2(F.concat_ws("|", F.col(key).cast("string"), "kind", F.col("match_no").cast("string"), "subject", "object"), 256))
 
 

@@ -15,7 +15,7 @@ from strataleaf.operators import sinks
 from strataleaf.operators.components import components
 from strataleaf.operators.hierarchy import latest_nodes
 from strataleaf.plans.base import Registry
-from strataleaf.plans.q_facts import _AT, _CHAIN, _CONFLICT, _DELTA, CUT90, D90, LEAD, STEPS, T0, T1, _cut, facts
+from strataleaf.plans.q_facts import _AT, _CHAIN, _CONFLICT, _DELTA, FLAWED90, D90, LEAD, STEPS, T0, T1, _flawed, facts
 from strataleaf.plans.q_graph import _BFS, _roots, edges
 from strataleaf.plans.q_text import _tok
 from strataleaf.sources.tables import table
@@ -34,32 +34,15 @@ def src14(spark, d):
     return n.select("node_id", (F.col("inner").isNull() & (F.trim("content") != "")).alias("is_leaf")).distinct()
 
 
-@query("snk06_delete_nodes", "select node_id, doc_id from apex_ast_nodes where node_id not in (select node_id from apex_temporal_metadata where validity_status = 'EXPIRED')")
-def snk06(spark, d):
-    gone = table(spark, d, "apex_temporal_metadata").filter("validity_status = 'EXPIRED'").select("node_id")
-    return nodes(spark, d).join(gone, "node_id", "left_anti").select("node_id", "doc_id")
-
-
-@query("snk07_append_facts", f"{LEAD} select 'caller' as tenant_id, fact_id, subject from facts")
-def snk07(spark, d):
-    """Facts as they are stored: under the caller's tenant and not their own."""
-    return facts(spark, d).select(F.lit("caller").alias("tenant_id"), "fact_id", "subject")
-
-
 @query("snk14_export")
 def snk14(spark, d):
     return sinks.exported(nodes(spark, d))
 
 
-@query("flt04_subtree_by_prefix", "select doc_id, node_id from apex_ast_nodes where starts_with(doc_id, 'doc-11')")
-def flt04(spark, d):
-    return nodes(spark, d).filter(F.col("doc_id").startswith("doc-11")).select("doc_id", "node_id")
-
-
-@query("joi07_all_anomalies", f"""{CUT90} select kind, count(*) as n from (select kind from ({_CONFLICT}) union all select 'BROKEN_LINK' from (select tenant_id, unnest([parent_fact_id, superseded_by]) target from facts) l
+@query("joi07_all_anomalies", f"""{FLAWED90} select kind, count(*) as n from (select kind from ({_CONFLICT}) union all select 'BROKEN_LINK' from (select tenant_id, unnest([parent_fact_id, superseded_by]) target from facts) l
 where target is not null and not exists (select 1 from facts f where f.tenant_id = l.tenant_id and f.fact_id = l.target) union all select 'CHAIN_OVERLAP' from ({_CHAIN})) group by 1""")
 def joi07(spark, d):
-    f = _cut(facts(spark, d, 90))
+    f = _flawed(facts(spark, d, 90))
     kinds = O.conflicts(f).select("kind").unionByName(O.broken_links(f).select(F.lit("BROKEN_LINK").alias("kind"))).unionByName(O.chain_overlaps(f).select(F.lit("CHAIN_OVERLAP").alias("kind")))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,16 +101,6 @@ def fn05(spark, d):
     return v.select("version_id", F.coalesce(micros("t"), F.lit(-1).cast("long")).alias("to_us"), hit.alias("overlaps_before"))
 
 
-@query("fn15_parsed_dates", "select event_id, epoch_us(date_trunc('second', ts)) as us from events")
-def fn15(spark, d):
-    """Instants written in one of three formats, told apart by parsing."""
-    e = table(spark, d, "events")
-    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"))
-    formats = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss")
-    at = F.coalesce(*[F.try_to_timestamp(F.substring(text, 1, 19), F.lit(f)) for f in formats])
-    return e.select("event_id", F.unix_micros(at).alias("us"))
-
-
 _SIB = r"""n as (select node_id, max(parent_id) p, max(content) c, max(embedding) e from apex_ast_nodes where parent_id is not null and len(embedding) = 4 group by 1),
 s as (select a.node_id x, b.node_id y, a.c xc, b.c yc from n a join n b on a.p = b.p and a.node_id < b.node_id where a.c <> b.c and list_cosine_similarity(a.e, b.e) > 0.65)"""
 

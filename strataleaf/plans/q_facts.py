@@ -177,19 +177,25 @@ def joi09(spark, d):
     return O.chain_overlaps(facts(spark, d, 90))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Only orders of some value: links to the others are then broken, and chains have gaps."""
-    return df.filter("confidence < 0.9")
+def _flawed(df: DataFrame) -> DataFrame:
+    """All facts; of some the superseding or the preceding fact isn't there, or the version number jumps, so that the
+    checks have something to find."""
+    n = F.col("fact_id").cast("long")
+    lost = lambda c, k: F.when(n % k == 0, F.concat(F.lit("lost-"), c)).otherwise(F.col(c))
+    links = {"superseded_by": lost("superseded_by", 7), "parent_fact_id": lost("parent_fact_id", 11)}
+    return df.withColumns(links | {"version_number": F.col("version_number") + F.when(n % 13 == 0, 1000).otherwise(0)})
 
 
-_CUT = "facts as (select * from f0 where confidence < 0.9)"
-CUT90 = D90.replace("facts as (", "f0 as (", 1).rstrip() + f", {_CUT}\n"
+_FLAWED = """facts as (select * replace (case when fact_id::bigint % 7 = 0 then 'lost-' || superseded_by else superseded_by end as superseded_by,
+case when fact_id::bigint % 11 = 0 then 'lost-' || parent_fact_id else parent_fact_id end as parent_fact_id,
+version_number + case when fact_id::bigint % 13 = 0 then 1000 else 0 end as version_number) from f0)"""
+FLAWED90 = D90.replace("facts as (", "f0 as (", 1).rstrip() + f", {_FLAWED}\n"
 
 
-@query("joi10_broken_links", f"""{CUT90} select tenant_id, fact_id, link, target from (select tenant_id, fact_id, 'parent_fact_id' link, parent_fact_id target from facts
+@query("joi10_broken_links", f"""{FLAWED90} select tenant_id, fact_id, link, target from (select tenant_id, fact_id, 'parent_fact_id' link, parent_fact_id target from facts
 union all select tenant_id, fact_id, 'superseded_by', superseded_by from facts) l where target is not null and not exists (select 1 from facts f where f.tenant_id = l.tenant_id and f.fact_id = l.target)""")
 def joi10(spark, d):
-    return O.broken_links(_cut(facts(spark, d, 90)))
+    return O.broken_links(_flawed(facts(spark, d, 90)))
 
 
 @query("joi11_unexpected_superseders", """with f as (select cast(o_orderkey as varchar) fact_id, 'all' tenant_id, o_orderpriority subject,
@@ -244,10 +250,10 @@ def grf14(spark, d):
     return f.select("tenant_id", "parent_fact_id", F.posexplode("children").alias("branch", "child")).withColumn("branch", (F.col("branch") + 1).cast("long"))
 
 
-@query("win06_version_gaps", f"""{CUT90} select tenant_id, doc_id, subject, fact_id, version_number as found, expected from
+@query("win06_version_gaps", f"""{FLAWED90} select tenant_id, doc_id, subject, fact_id, version_number as found, expected from
 (select *, coalesce(lag(version_number) over (partition by tenant_id, doc_id, subject order by created_at, fact_id) + 1, 1) expected from facts) where version_number <> expected""")
 def win06(spark, d):
-    return O.version_gaps(_cut(facts(spark, d, 90)))
+    return O.version_gaps(_flawed(facts(spark, d, 90)))
 
 
 @query("agg12_duplicate_versions", """select c_mktsegment tenant_id, cast(o_custkey as varchar) doc_id, o_orderpriority subject, year(o_orderdate) version_number, count(*) n_facts
@@ -266,7 +272,7 @@ def _dirty(df: DataFrame) -> DataFrame:
         "extraction_method", F.when(F.col("subject").startswith("1"), "guess").otherwise(F.col("extraction_method")))
 
 
-DIRTY = CUT90.rstrip() + """, q as (select * replace (case when object <> 'P' then object else ' ' end as object, confidence * 1.2 as confidence,
+DIRTY = FLAWED90.rstrip() + """, q as (select * replace (case when object <> 'P' then object else ' ' end as object, confidence * 1.2 as confidence,
 case when subject like '1%' then 'guess' else extraction_method end as extraction_method) from facts)
 """
 _ISSUES = """select tenant_id, doc_id, fact_id, 'MISSING_REQUIRED_FIELDS:object' as check_type from q where trim(object) = ''
@@ -276,7 +282,7 @@ union all select tenant_id, doc_id, fact_id, 'EXTRACTION_METHOD' from q where ex
 
 @query("agg14_fact_issues", f"{DIRTY} select tenant_id, fact_id, check_type from ({_ISSUES})")
 def agg14(spark, d):
-    return O.fact_issues(_dirty(_cut(facts(spark, d, 90))))
+    return O.fact_issues(_dirty(_flawed(facts(spark, d, 90))))
 
 
 @query("agg13_document_issues", f"""{DIRTY} select tenant_id, doc_id, check_type, count(*) as n_issues from ({_ISSUES}
@@ -284,16 +290,16 @@ union all select tenant_id, doc_id, fact_id, 'SUPERSESSION_INTEGRITY' from (sele
 where target is not null and not exists (select 1 from facts f where f.tenant_id = l.tenant_id and f.fact_id = l.target)
 union all select tenant_id, doc_id, a_fact_id, 'VALIDITY_WINDOW_OVERLAP' from ({_CHAIN})) group by 1, 2, 3""")
 def agg13(spark, d):
-    return O.document_issues(_dirty(_cut(facts(spark, d, 90))))
+    return O.document_issues(_dirty(_flawed(facts(spark, d, 90))))
 
 
-@query("agg15_chain_summary", f"""{CUT90.rstrip()}, gaps as (select tenant_id, doc_id, subject, count(*) n from (select *, coalesce(lag(version_number) over (partition by tenant_id, doc_id, subject
+@query("agg15_chain_summary", f"""{FLAWED90.rstrip()}, gaps as (select tenant_id, doc_id, subject, count(*) n from (select *, coalesce(lag(version_number) over (partition by tenant_id, doc_id, subject
 order by created_at, fact_id) + 1, 1) expected from facts) where version_number <> expected group by 1, 2, 3),
 over_ as (select tenant_id, doc_id, subject, count(*) n from ({_CHAIN}) group by 1, 2, 3)
 select f.tenant_id, f.doc_id, f.subject, count(*) as n_facts, coalesce(max(g.n), 0) as n_gaps, 0 as n_forks, coalesce(max(o.n), 0) as n_overlaps,
 coalesce(max(g.n), 0) + coalesce(max(o.n), 0) = 0 as healthy from facts f left join gaps g using (tenant_id, doc_id, subject) left join over_ o using (tenant_id, doc_id, subject) group by 1, 2, 3""")
 def agg15(spark, d):
-    return O.chain_summary(_cut(facts(spark, d, 90)))
+    return O.chain_summary(_flawed(facts(spark, d, 90)))
 
 
 @query("win11_fact_history", f"{LEAD} select tenant_id, doc_id, subject, fact_id, row_number() over (partition by tenant_id, doc_id, subject order by valid_from, fact_id) as position from facts")

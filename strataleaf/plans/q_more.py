@@ -12,7 +12,7 @@ from strataleaf.operators import search as R
 from strataleaf.plans import pipeline
 from strataleaf.plans.base import Registry
 from strataleaf.plans.q_facts import D90, _PAIR, facts
-from strataleaf.plans.q_text import _tok
+from strataleaf.plans.q_text import _tok, unicode_twin
 from strataleaf.sources.markdown import parse_markdown
 from strataleaf.sources.tables import SameIds, table
 
@@ -29,7 +29,7 @@ for _name, _kind in (("gen02_metrics", "metric"), ("gen04_organizations", "organ
     def _make(kind):
         return lambda spark, d: X.matches(_documents(spark, d), "doc_id", "text", kind)
 
-    query(_name)(_make(_kind))
+    query(_name, unicode_twin(_kind) if _kind in ("metric", "event", "contract_term") else None)(_make(_kind))
 
 
 @query("src02_markdown_nodes")
@@ -116,20 +116,6 @@ def srt11(spark, d):
     return n.filter("score > 0")
 
 
-@query("srt16_cached_queries", """with c as (select *, lag(event_id) over (partition by user_id, event_type order by ts, event_id) hit from events) select event_id, hit from c where hit is not null""")
-def srt16(spark, d):
-    """Each query with the newest earlier one of the same key, the cache entry it would find."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("hit")).filter("hit is not null")
-
-
-@query("str08_ttl_hits", "with c as (select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id, event_type order by ts, event_id) age from events) select event_id, coalesce(age <= 3600000000, false) as hit from c")
-def str08(spark, d):
-    us = micros("ts")
-    age = us - F.lag(us).over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", age.alias("age")).select("event_id", F.coalesce(F.col("age") <= 3_600_000_000, F.lit(False)).alias("hit"))
-
-
 @query("str11_unbuilt_projections", f"with {_E}, n as (select distinct doc_id, node_id from apex_ast_nodes), b as (select distinct n.doc_id from e join n on n.node_id = e.s where e.k = 'REFERENCES') select distinct doc_id from n where doc_id not in (from b)")
 def str11(spark, d):
     """Documents whose citation projection has not been built."""
@@ -145,25 +131,6 @@ def fn30(spark, d):
     return table(spark, d, "events").select("event_id", k.alias("k"), F.col("props").isNotNull().alias("is_record"))
 
 
-@query("fn19_temporal_modes", r"""with q as (select doc_id, lower(text) t from documents where text is not null), x as (select doc_id, t, len(list_distinct(regexp_extract_all(t, '\d{4}-\d{2}-\d{2}'))) n from q)
-select doc_id, case when contains(t, 'trend') then 'TREND' when n >= 2 then 'BETWEEN' when n = 1 then 'AS_OF' else 'LATEST' end as mode from x""")
-def fn19(spark, d):
-    t = F.lower("text")
-    n = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0))))
-    mode = F.when(F.contains(t, F.lit("trend")), "TREND").when(n >= 2, "BETWEEN").when(n == 1, "AS_OF").otherwise("LATEST")
-    return _documents(spark, d).filter("text is not null").select("doc_id", mode.alias("mode"))
-
-
-@query("fn16_first_dates", r"""with t as (select doc_id, left(text, 500) t from documents), m as (select doc_id, regexp_extract(t, '(\d{4}-\d{2}-\d{2})', 1) iso, regexp_extract(t, '(\d{2}/\d{2}/\d{4})', 1) eu from t)
-select doc_id, coalesce(try_cast(nullif(iso, '') as date), try_strptime(nullif(eu, ''), '%d/%m/%Y')::date) as source_date from m""")
-def fn16(spark, d):
-    """The first date of the best kind in a text's first 500 characters, which is where a source date stands."""
-    t = F.substring("text", 1, 500)
-    iso, eu = F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})", 1), F.regexp_extract(t, r"(\d{2}/\d{2}/\d{4})", 1)
-    day = F.coalesce(F.nullif(iso, F.lit("")).try_cast("date"), F.try_to_timestamp(F.nullif(eu, F.lit("")), F.lit("dd/MM/yyyy")).cast("date"))
-    return _documents(spark, d).select("doc_id", day.alias("source_date"))
-
-
 @query("fn16_source_dates")
 def fn16_all(spark, d):
     """The date of the best kind of eight in a text's first 500 characters."""
@@ -179,16 +146,6 @@ def set05(spark, d):
     return x.groupBy("user_id").agg(F.count_if(F.expr("b and not a")).alias("n_added"), F.count_if(F.expr("a and not b")).alias("n_removed"), F.count_if(F.expr("a and b")).alias("n_kept"))
 
 
-@query("grf07_would_cycle", f"""with recursive {_E}, l as (select distinct s a, t b from e where k in ('DEPENDS_ON', 'IMPORTS', 'REFERENCES') and s is not null and t is not null),
-w as (select a source, b node, 1 h from l union select w.source, l.b, w.h + 1 from w join l on l.a = w.node where w.h < 4) select distinct e.edge_id from e join w on w.source = e.t and w.node = e.s""")
-def grf07(spark, d):
-    """Edges whose target reaches their source over at most four dependency links: adding them closes a cycle."""
-    e = table(spark, d, "apex_causal_edges").select("edge_id", F.col("source_node_id").alias("s"), F.col("target_node_id").alias("t"), "edge_type").distinct()
-    l = e.filter(F.col("edge_type").isin("DEPENDS_ON", "IMPORTS", "REFERENCES")).select(F.col("s").alias("a"), F.col("t").alias("b"))
-    back = G.closure(l, 4).select(F.col("source").alias("t"), F.col("node").alias("s"))
-    return e.join(back, ["s", "t"], "left_semi").select("edge_id").distinct()
-
-
 def _same_edges(spark, d):
     return table(spark, SameIds(d), "apex_causal_edges").select("edge_id", F.col("source_node_id").alias("s"), F.col("target_node_id").alias("t"), "edge_type").distinct()
 
@@ -207,15 +164,6 @@ def grf08_all(spark, d):
     return G.on_cycles(_same_edges(spark, d).select(F.col("s").alias("a"), F.col("t").alias("b")).filter("a is not null and b is not null")).select(F.col("node").alias("node_id"))
 
 
-@query("srt07_documents_by_vector", """with q as (select embedding e from embeddings where vec_id = (select min(vec_id) from embeddings)),
-s as (select label, max(round(list_cosine_similarity(embedding::double[], (select e from q)::double[]), 6)) score from embeddings group by 1) select label, score from s order by score desc, label limit 5""")
-def srt07(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    s = e.crossJoin(F.broadcast(q)).groupBy("label").agg(F.max(F.round(R.cosine(F.col("embedding"), F.col("q")), 6)).alias("score"))  # one query vector
-    return s.orderBy(F.desc("score"), "label").limit(5)
-
-
 @query("joi18_permitted_documents", """with g as (select distinct source, n % 3 <> 0 ok from (select source, dense_rank() over (order by source) n from (select distinct source from documents where source is not null)))
 select doc_id from documents join g using (source) where ok""")
 def joi18(spark, d):

@@ -255,23 +255,6 @@ def set04(spark, d):
     return v.select("version_id", F.size(added).cast("long").alias("n_added"), F.size(removed).cast("long").alias("n_removed"))
 
 
-@query("snk02_upsert_nodes", """select lower(trim(node_id, ' ')) as key, max(epoch_us(ingestion_date)) as at, count(*) as n_rows from apex_ast_nodes group by 1""")
-def snk02(spark, d):
-    from strataleaf.functions.ids import norm_id
-
-    return nodes(spark, d).groupBy(norm_id("node_id").alias("key")).agg(F.max(micros("ingestion_date")).alias("at"), F.count(F.lit(1)).alias("n_rows"))
-
-
-@query("snk05_delete_document", f"""with x as (select mode() within group (order by doc_id) doc from (select doc_id, count(*) c from apex_ast_nodes group by 1 order by c desc, doc_id limit 1)), gone as (select distinct node_id from apex_ast_nodes where doc_id = (select doc from x)), {EDGES}
-select edge_id from e where source_node_id is null or source_node_id not in (from gone)""")
-def snk05(spark, d):
-    """The edges that stay when the largest document is deleted: those by source only go."""
-    n = nodes(spark, d)
-    doc = n.groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").limit(1)
-    gone = n.join(doc, "doc_id", "left_semi").select(F.col("node_id").alias("source_node_id")).distinct()
-    return edges(spark, d).join(gone, "source_node_id", "left_anti").select("edge_id")
-
-
 @query("snk09_scd2_write", """with v as (select distinct node_id, version_id, effective_from f, content from node_versions where effective_from is not null)
 select version_id, row_number() over w as version_no, lag(version_id) over w as previous_version, coalesce(epoch_us(lead(f) over w), -1) as to_us, lead(f) over w is null as is_current
 from v window w as (partition by node_id order by f, version_id, content)""")

@@ -243,10 +243,3 @@ select doc_id, round(case when s > 0 then 2.0 * s / (len(p) + len(t)) else 0.0 e
 def fn27(spark, d):
     f1 = S.token_f1(F.coalesce("lang", F.lit("")), F.replace(F.coalesce("source", F.lit("")), F.lit("_"), F.lit(" en ")))
     return table(spark, d, "documents").select("doc_id", F.round(f1, 9).alias("f1"))
-
-
-@query("snk04_page_index", "select doc_id, page_number, count(distinct node_id) as n_entries, count(*) as n_rows from apex_ast_nodes where node_type = 'HEADING' and page_number is not null group by 1, 2")
-def snk04(spark, d):
-    """Headings by page, once as an upsert and once as blind appends count them."""
-    n = table(spark, d, "apex_ast_nodes").filter("node_type = 'HEADING' and page_number is not null")
-    return n.groupBy("doc_id", "page_number").agg(F.countDistinct("node_id").alias("n_entries"), F.count(F.lit(1)).alias("n_rows"))

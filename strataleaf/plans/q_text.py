@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -77,24 +79,30 @@ def srt04(spark, d):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n_uses"))
 
 
-@query("srt05_hybrid", f"""{_BM}, k as (select c.doc_id, {' + '.join(_PART.format(x) for x in 'abc')} kw, 1.0 / (1 + n) st from c, s where greatest(a, b, c) > 0)
-select doc_id, round(0.6 * kw / max(kw) over () + 0.4 * st / max(st) over (), 6) as score from k""")
-def srt05(spark, d):
-    """Keyword and structural scores, each over its maximum, weighted."""
-    docs = table(spark, d, "documents")
-    kw = R.bm25(docs, "doc_id", "text", Q)
-    st = docs.select("doc_id", (1.0 / (1 + F.size(R.tokens(F.col("text"))))).alias("st"))
-    k = kw.join(st, "doc_id")
-    top = k.agg(F.max("score").alias("mk"), F.max("st").alias("ms"))
-    return k.crossJoin(F.broadcast(top)).select("doc_id", F.round(0.6 * F.col("score") / F.col("mk") + 0.4 * F.col("st") / F.col("ms"), 6).alias("score"))
-
-
 @query("srt12_page_index", "select doc_id, term, position from (select doc_id, term, row_number() over (partition by doc_id order by term) position from (select distinct doc_id, content term from apex_ast_nodes where node_type = 'HEADING'))")
 def srt12(spark, d):
     h = table(spark, d, "apex_ast_nodes").filter("node_type = 'HEADING'").select("doc_id", F.col("content").alias("term")).distinct()
     return h.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("term")).cast("long"))
 
 
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def re2(pattern: str) -> str:
+    """A pattern without word borders as the SQL twins' engine has to be told it: blanks and digits are Unicode's."""
+    inside, out = False, ""
+    for part in re.findall(r"\\.|[\[\]]|[^\\\[\]]+", pattern):
+        inside = part == "[" or (inside and part != "]")
+        out += {r"\s": _SPACE if inside else f"[{_SPACE}]", r"\d": r"\p{Nd}"}.get(part, part)
+    return out
+
+
+def unicode_twin(kind: str) -> str:
+    pattern, a, b = X.PATTERNS[kind]
+    return f"""with m as (select doc_id, regexp_extract_all(text, $r${re2(pattern)}$r$, {a}) a, regexp_extract_all(text, $r${re2(pattern)}$r$, {b}) b from documents)
+select doc_id, unnest(range(len(a))) as match_no, unnest(a) as subject, unnest(b) as object from m where len(a) > 0"""
+
+
 def _extraction(name: str, kind: str, pattern: str, a: int, b: int) -> None:
     """A query that extracts one kind from all documents; its twin's word borders are ASCII, so kinds that
     begin or end beside letters of other scripts have none and are tested against Python's patterns."""
@@ -114,7 +122,7 @@ for _name, _kind in (
     _extraction(_name, _kind, *X.PATTERNS[_kind])
 
 
-@query("gen03_policies")
+@query("gen03_policies", unicode_twin("policy"))
 def gen03(spark, d):
     return X.matches(table(spark, d, "documents"), "doc_id", "text", "policy")
 
@@ -132,37 +140,22 @@ def fn22(spark, d):
     return nodes(spark, d).select("node_id", X.negated(F.col("content")).alias("negated"))
 
 
-_LIT = """case version_number % 9 when 0 then split_part(content, ' = ', 2) when 1 then '₹' || version_number || '.5Cr' when 2 then version_number || '%' when 3 then version_number || ' million'
-when 4 then 'N/A' when 5 then '$' || version_number || 'k' when 6 then '1,000' when 7 then version_number || 'T' else ' -' || version_number || ' ' end"""
-
-
-@query("fn01_parse_metrics", f"""with v as (select version_id, any_value(trim({_LIT})) s from (select distinct version_id, version_number, content from node_versions) group by 1 having count(*) = 1),
-p as (select version_id, s, nullif(regexp_extract(s, '^(-?\\d+(?:\\.\\d+)?)\\s*%$', 1), '') pc, regexp_extract(s, '^([₹$€£¥])?\\s*(-?\\d+(?:\\.\\d+)?)\\s*([kKmMbBtTlLcCrR]|Cr|cr|CR)?$', ['g', 'n', 'x']) c,
-regexp_extract(s, '^(-?\\d+(?:\\.\\d+)?)\\s+(?i:(million|billion|thousand|lakh|crore))$', ['n', 'w']) w from v)
-select version_id, round(case when lower(s) in ('', 'n/a') then 0.0 when pc is not null then try_cast(pc as double) / 100 when c.n <> '' then try_cast(c.n as double) * coalesce(case when c.g = '₹' then case c.x when 'Cr' then 1e7 when 'l' then 1e5 when 'L' then 1e5 when 'cr' then 1e7 when 'CR' then 1e7 end end,
-case lower(c.x) when 'k' then 1e3 when 'm' then 1e6 when 'b' then 1e9 end, 1.0) when w.n <> '' then try_cast(w.n as double) * 1e6 else 0.0 end, 6) as numeric_value,
-case when lower(s) in ('', 'n/a') then 'UNKNOWN' when pc is not null then 'PERCENTAGE' when c.n <> '' then case when c.g <> '' then 'CURRENCY' else 'NUMERIC' end when w.n <> '' then 'NUMERIC' else 'UNKNOWN' end as unit from p""")
-def fn01(spark, d):
-    """Literals of all written kinds, made from the versions' numbers and contents."""
-    v = table(spark, d, "node_versions").select("version_id", "version_number", "content").distinct()
-    n = F.col("version_number").cast("string")
-    forms = [F.split_part("content", F.lit(" = "), F.lit(2)), F.concat(F.lit("₹"), n, F.lit(".5Cr")), F.concat(n, F.lit("%")), F.concat(n, F.lit(" million")), F.lit("N/A"),
-        F.concat(F.lit("$"), n, F.lit("k")), F.lit("1,000"), F.concat(n, F.lit("T")), F.concat(F.lit(" -"), n, F.lit(" "))]
-    text = forms[-1]
-    for k, f in enumerate(forms[:-1]):
-        text = F.when(F.col("version_number") % 9 == k, f).otherwise(text)
-    one = v.groupBy("version_id").agg(F.count(F.lit(1)).alias("c"), F.first("version_number").alias("version_number"), F.first("content").alias("content")).filter("c = 1")
-    m = one.select("version_id", X.parse_metric(text).alias("m"))
-    return m.select("version_id", F.round("m.numeric_value", 6).alias("numeric_value"), F.col("m.unit").alias("unit"))
-
-
 def latest_contents(versions):
     """(version_id, content) of the row with the latest updated_at (tie: the greatest content)."""
     best = F.max(F.struct("updated_at", "content"))
     return versions.filter("version_id is not null").groupBy("version_id").agg(best.alias("b")).select("version_id", F.col("b.content").alias("content"))
 
 
-@query("fn01_content_metrics")
+_LIT = """v as (select version_id, arg_max(content, struct_pack(u := coalesce(updated_at, timestamp '0001-01-01'), c := content)) t from node_versions where version_id is not null group by 1),
+x as (select version_id, trim(split_part(t, ' = ', 2)) s from v)"""
+
+
+@query("fn01_content_metrics", f"""with {_LIT}, p as (select version_id, s, nullif(regexp_extract(s, '^(-?\\d+(?:\\.\\d+)?)\\s*%$', 1), '') pc, regexp_extract(s, '^([₹$€£¥])?\\s*(-?\\d+(?:\\.\\d+)?)\\s*([kKmMbBtTlLcCrR]|Cr|cr|CR)?$', ['g', 'n', 'x']) c,
+regexp_extract(s, '^(-?\\d+(?:\\.\\d+)?)\\s+(?i:(million|billion|thousand|lakh|crore))$', ['n', 'w']) w from x)
+select version_id, round(case when lower(s) in ('', {', '.join(repr(u) for u in X.UNKNOWN)}) then 0.0 when pc is not null then try_cast(pc as double) / 100 when c.n <> '' then try_cast(c.n as double) * coalesce(case when c.g = '₹' then case lower(c.x) when 'l' then 1e5 when 'cr' then 1e7 end end,
+case lower(c.x) when 'k' then 1e3 when 'm' then 1e6 when 'b' then 1e9 end, 1.0) when w.n <> '' then try_cast(w.n as double) * case lower(w.w) when 'thousand' then 1e3 when 'million' then 1e6 when 'billion' then 1e9 when 'lakh' then 1e5 else 1e7 end
+else coalesce(try_cast(s as double), 0.0) end, 6) as numeric_value,
+case when lower(s) in ('', {', '.join(repr(u) for u in X.UNKNOWN)}) then 'UNKNOWN' when pc is not null then 'PERCENTAGE' when c.n <> '' then case when c.g <> '' then 'CURRENCY' else 'NUMERIC' end when w.n <> '' or try_cast(s as double) is not null then 'NUMERIC' else 'UNKNOWN' end as unit from p""")
 def fn01_contents(spark, d):
     """The value of each version's content of the form name = value; a content of another form has an unknown one."""
     v = latest_contents(table(spark, d, "node_versions")).select("version_id", X.parse_metric(F.split_part("content", F.lit(" = "), F.lit(2))).alias("m"))
@@ -176,22 +169,6 @@ def fn01_texts(spark, d):
     return m.select("doc_id", "match_no", "subject", F.round("m.numeric_value", 6).alias("numeric_value"), F.col("m.unit").alias("unit"))
 
 
-@query("src16_fingerprints", """with x as (select doc_id, sha256(coalesce(text, '') || ':0') h from documents)
-select doc_id, round(('0x' || substr(h, 1, 8))::bigint / 4294967296.0 * 2 - 1, 9) as v0, round(('0x' || substr(h, 57, 8))::bigint / 4294967296.0 * 2 - 1, 9) as v7 from x""")
-def src16(spark, d):
-    v = X.fingerprint(F.coalesce("text", F.lit("")), 8)
-    return table(spark, d, "documents").select("doc_id", v.alias("v")).select("doc_id", F.round(F.col("v")[0], 9).alias("v0"), F.round(F.col("v")[7], 9).alias("v7"))
-
-
-@query("srt06_vector_search", """with q as (select embedding e from embeddings where vec_id = (select min(vec_id) from embeddings)),
-s as (select vec_id, round(list_cosine_similarity(embedding::double[], (select e from q)::double[]), 6) score from embeddings) select vec_id, score from s where score >= 0.3 order by score desc, vec_id limit 5""")
-def srt06(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    s = e.crossJoin(F.broadcast(q)).select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))  # one query vector
-    return s.filter("score >= 0.3").orderBy(F.desc("score"), "vec_id").limit(5)
-
-
 _SCORED = "with q as (select vec_id qid, embedding::double[] q from embeddings where vec_id % 50 = 0), s as (select qid, vec_id, label, round(list_cosine_similarity(embedding::double[], q), 6) score from embeddings, q)"
 
 
@@ -234,21 +211,9 @@ def fn24(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(out).alias("digest"))
 
 
-_ROUTES = {"entity": r"\b(?:person|people|organi[sz]ation|company|party|partner)", "citation": r"\b(?:cite|citation|reference|see table|footnote|according to)", "policy": r"\b(?:polic(?:y|ies)|shall|must|obligation|compliance|retention)"}
-
 
-@query("fn20_routes", "select doc_id, " + ", ".join(f"coalesce(regexp_matches(lower(text), $r${p}$r$), false) as {k}" for k, p in _ROUTES.items()) + " from documents")
-def fn20(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[F.coalesce(F.rlike(F.lower("text"), F.lit(p)), F.lit(False)).alias(k) for k, p in _ROUTES.items()])
 
 
-_TIME = r"\b(?:today|yesterday|history|trend|change|compare|version|between|january|march|june|q[1-4])\b"
-
-
-@query("fn18_time_queries", f"select item_id, regexp_matches(lower(question), $r${_TIME}$r$) as temporal from eval_items")
-def fn18(spark, d):
-    return table(spark, d, "eval_items").select("item_id", F.rlike(F.lower("question"), F.lit(_TIME)).alias("temporal"))
-
 
 @query("src02_markdown_lines", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from documents)
 select doc_id, no::bigint as line_no, len(regexp_extract(line, '^(#{1,6}) ', 1)) as level, case when regexp_matches(line, '^#{1,6} ') then 'HEADING' when line like '|%' then 'TABLE' when line like '- %' then 'LIST' else 'PARAGRAPH' end as node_type from l where regexp_matches(line, '[^ ]')""")
@@ -259,24 +224,6 @@ def src02(spark, d):
     return l.select("doc_id", (F.col("no") + 1).cast("long").alias("line_no"), F.length(F.regexp_extract("line", "^(#{1,6}) ", 1)).cast("long").alias("level"), kind.alias("node_type"))
 
 
-@query("src13_section_paths", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from documents), h as (select doc_id, no, regexp_extract(line, '^#{1,6} ([^\n]*)', 1) title from l where regexp_matches(line, '^#{1,6} '))
-select doc_id, l.no::bigint as line_no, (select max_by(h.title, h.no) from h where h.doc_id = l.doc_id and h.no <= l.no) as section from l where regexp_matches(line, '[^ ]')""")
-def src13(spark, d):
-    """The section each line stands in: the last heading at or before it."""
-    l = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    title = F.when(F.rlike("line", F.lit("^#{1,6} ")), F.regexp_extract("line", r"^#{1,6} ([^\n]*)", 1))
-    w = Window.partitionBy("doc_id").orderBy("no")
-    l = l.withColumn("section", F.last(title, ignorenulls=True).over(w)).filter(F.trim("line") != "")
-    return l.select("doc_id", (F.col("no") + 1).cast("long").alias("line_no"), "section")
-
-
-@query("src03_paragraph_chunks", """select node_id, len(string_split(content, chr(10) || chr(10))) as n_parts, list_max([len(x) for x in string_split(content, chr(10) || chr(10))]) as longest from (select distinct node_id, content from apex_ast_nodes) where length(content) > 3000""")
-def src03(spark, d):
-    n = table(spark, d, "apex_ast_nodes").select("node_id", "content").distinct().filter(F.length("content") > 3000)
-    parts = F.split("content", "\n\n")
-    return n.select("node_id", F.size(parts).cast("long").alias("n_parts"), F.array_max(F.transform(parts, F.length)).cast("long").alias("longest"))
-
-
 @query("fn26_truncate", "select doc_id, case when length(text) > 200 then left(text, 197) || '...' else text end as short from documents")
 def fn26(spark, d):
     t = F.col("text")
