@@ -85,6 +85,15 @@ UNKNOWN = ["n/a", "na", "unknown", "not available", "none", "null", "tbd", "t.b.
 _NUMBER = r"(-?\d+(?:\.\d+)?)"
 
 
+def _pick(values: dict[str, float], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
+
+
+def multiplier(suffix: Column, indian: Column) -> Column:
+    """What a suffix multiplies by; lakh and crore only where amounts are Indian, 1 for any other suffix."""
+    return F.coalesce(F.when(indian, _pick(INDIAN, suffix)), _pick(SUFFIX, suffix), F.lit(1.0))
+
+
 def parse_metric(value: Column) -> Column:
     """Struct (numeric_value, unit, confidence) of a literal such as ₹1.5Cr, 35%, 5 million or 42.
 
@@ -97,8 +106,7 @@ def parse_metric(value: Column) -> Column:
     cur = r"^\s*([₹$€£¥])?\s*" + _NUMBER + r"\s*([kKmMbBtTlLcCrR]|Cr|cr|CR)?\s*$"
     sign, number, suffix = look(cur, 1), look(cur, 2), look(cur, 3)
     word = rf"(?i)^\s*{_NUMBER}\s+(million|billion|thousand|lakh|crore)\s*$"
-    pick = lambda table, key: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
-    times = F.coalesce(F.when(sign == "₹", pick(INDIAN, suffix)), pick(SUFFIX, suffix), F.lit(1.0))
+    times = multiplier(suffix, sign == "₹")
     unit = F.when(sign.isNotNull(), "CURRENCY").otherwise("NUMERIC")
     made = lambda v, u, c: F.struct(v.alias("numeric_value"), u.alias("unit"), F.lit(c).alias("confidence"))
     zero = made(F.lit(0.0), F.lit("UNKNOWN"), 0.0)
@@ -106,7 +114,7 @@ def parse_metric(value: Column) -> Column:
         F.when(F.lower(s).isin("", *UNKNOWN), zero)
         .when(pct.isNotNull(), made(pct.try_cast("double") / 100, F.lit("PERCENTAGE"), 1.0))
         .when(number.isNotNull(), made(number.try_cast("double") * times, unit, 1.0))
-        .when(look(word, 1).isNotNull(), made(look(word, 1).try_cast("double") * pick(WORD, F.lower(look(word, 2))), F.lit("NUMERIC"), 1.0))
+        .when(look(word, 1).isNotNull(), made(look(word, 1).try_cast("double") * _pick(WORD, F.lower(look(word, 2))), F.lit("NUMERIC"), 1.0))
         .when(s.try_cast("double").isNotNull(), made(s.try_cast("double"), F.lit("NUMERIC"), 0.9))
         .otherwise(zero)
     )

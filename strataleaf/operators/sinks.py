@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, order: str, keep: tuple[
     return stored.join(new.select(key).distinct(), key, "left_anti").select(*stored.columns).unionByName(last.select(*stored.columns))
 
 
+def insert_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``stored`` with those rows of ``new`` whose keys it has not, one row a key. Null keys are keys like others."""
+    fresh = new.dropDuplicates(keys)
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    fresh = fresh.alias("n").join(stored.select(*keys).alias("o"), reduce(lambda a, b: a & b, same), "left_anti")
+    return stored.unionByName(fresh.select(*stored.columns))
+
+
+def append_log(rows: DataFrame, at: str, path: str) -> None:
+    """Append rows of an event log, in folders by the day of ``at``."""
+    rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
+
+
 def append_for_tenant(rows: DataFrame, tenant: str, path: str) -> None:
     """Append with the caller's tenant in the place of the rows' own; an empty tenant raises ValueError."""
     if not tenant.strip():

@@ -72,3 +72,30 @@ def rate_limited(stream: DataFrame, most: int = 60, seconds: float = 60.0) -> Da
     return stream.groupBy("key").applyInPandasWithState(
         limiter(most, seconds), "id long, key long, allowed boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def ttl_cache(ttl_us: int, most: int | None = None) -> Callable:
+    """A cache of which an entry lives ``ttl_us`` from when it was set; a read that finds none sets it. With ``most`` the cache
+    of a state's key holds that many entries and drops the one that was read longest ago."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entries: dict[str, int] = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["us", "id"])
+        hits = []
+        for us, name in zip(rows["us"], rows["entry"], strict=True):
+            was = entries.pop(name, None)
+            hits.append(was is not None and us - was < ttl_us)
+            entries[name] = was if hits[-1] else us
+            if most is not None and len(entries) > most:
+                del entries[next(iter(entries))]
+        state.update((list(entries), list(entries.values())))
+        yield pd.DataFrame({"id": rows["id"].to_numpy(), "hit": hits})
+
+    return run
+
+
+def cached_reads(stream: DataFrame, ttl_us: int, most: int | None = None) -> DataFrame:
+    """(id, hit) of reads (id bigint, key, entry string, us bigint) of a cache a key; in a micro-batch in order of time."""
+    return stream.groupBy("key").applyInPandasWithState(
+        ttl_cache(ttl_us, most), "id long, hit boolean", "entries array<string>, set_us array<long>", "append", GroupStateTimeout.NoTimeout
+    )
