@@ -7,7 +7,7 @@ Slices are monotone in the ordering column, so results don't depend on where the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 200_000
@@ -31,3 +31,17 @@ def add_slices(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, sl
         .withColumn("slice_id", F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(order)))))
         .drop("__cuts")
     )
+
+
+def numbered(df: DataFrame, key: str, order: str, prefix: int = 2) -> DataFrame:
+    """``df`` with ``position``, from 1, of each row in its key in the order of a text column (ties in any order).
+
+    Rows are numbered within the key's rows that share their first ``prefix`` characters; what stands before comes from
+    counts by prefix, so a key with many rows is as many tasks as it has prefixes."""
+    rows = df.withColumn("__p", F.coalesce(F.substring(order, 1, prefix), F.lit("")))
+    before = Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, "__p").agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0).cast("long")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(key, "__p").orderBy(order))
+    out = rows.withColumn("__own", own).join(counts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
+    return out.withColumn("position", F.col("__before") + F.col("__own")).drop("__p", "__k", "__q", "__before", "__own")

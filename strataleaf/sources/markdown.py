@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataleaf.session import materialise
 from strataleaf.sources.chunks import greedy_chunks
 
 # What makes a heading, a table row, a page marker and a fence.
@@ -67,6 +68,21 @@ def parse_markdown(docs: DataFrame, max_chars: int = 3000) -> DataFrame:
     return _with_chunks(nodes, max_chars)
 
 
+def section_paths(docs: DataFrame, levels: int = 6) -> DataFrame:
+    """Headings of (doc_id, text) with their dotted paths: (doc_id, node_no, content, path). A heading counts its place among those
+    that share its parent; what stands below a heading without a title has no path. Paths grow level by level, so there are as
+    many joins as levels."""
+    h = parse_markdown(docs.select("doc_id", "text"), 1 << 30).filter("node_type = 'HEADING' and node_no > 0").select("doc_id", "node_no", "depth", "parent_no", "content")
+    place = F.row_number().over(Window.partitionBy("doc_id", "parent_no").orderBy("node_no"))
+    h = materialise(h.withColumn("place", place.cast("string")), "headings")
+    done = h.filter("parent_no is null").select("doc_id", "node_no", "depth", "content", F.col("place").alias("path"))
+    for level in range(1, levels):
+        up = done.select("doc_id", F.col("node_no").alias("parent_no"), F.col("path").alias("up"))
+        own = h.filter(F.col("depth") == level).join(up, ["doc_id", "parent_no"])
+        done = done.unionByName(own.select("doc_id", "node_no", "depth", "content", F.concat_ws(".", "up", "place").alias("path")))
+    return done.select("doc_id", "node_no", "content", "path")
+
+
 def _with_chunks(nodes: DataFrame, max_chars: int) -> DataFrame:
     parents = nodes.filter("parent_no is not null").select("doc_id", F.col("parent_no").alias("node_no"), F.lit(True).alias("inner")).distinct()
     n = nodes.join(parents, ["doc_id", "node_no"], "left")
