@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataleaf.operators.overlap import overlapping
+
 DOC = ("tenant_id", "doc_id")
 SUBJECT = (*DOC, "subject")
 
@@ -105,27 +107,25 @@ def delta_range(facts: DataFrame, instants: list[str]) -> DataFrame:
 
 def conflicts(facts: DataFrame) -> DataFrame:
     """Pairs of one subject with overlapping validity, the earlier created (tie: lesser id) first: type
-    ``VALUE_CONFLICT`` if the objects differ, else ``WINDOW_OVERLAP``."""
-    cols = ("fact_id", "object", "valid_from", "valid_to", "created_at")
-    side = lambda x: facts.select(*SUBJECT, *[F.col(c).alias(f"{x}_{c}") for c in cols])
-    j = side("a").join(side("b"), list(SUBJECT))
-    first = F.struct("a_created_at", "a_fact_id") < F.struct("b_created_at", "b_fact_id")
+    ``VALUE_CONFLICT`` if the objects differ, else ``WINDOW_OVERLAP``. Only facts that nearly overlap meet."""
+    cols = ["fact_id", "object", "valid_from", "valid_to", "created_at"]
+    j = overlapping(facts, list(SUBJECT), "fact_id", "valid_from", "valid_to", cols)
+    turn = F.struct("a_created_at", "a_fact_id") > F.struct("b_created_at", "b_fact_id")
+    both = {f"{x}_{c}": F.when(turn, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")) for c in cols for x, y in (("a", "b"), ("b", "a"))}
+    j = j.select(*SUBJECT, *[v.alias(k) for k, v in both.items()])
     hit = overlaps(F.col("a_valid_from"), F.col("a_valid_to"), F.col("b_valid_from"), F.col("b_valid_to"))
     kind = F.when(F.col("a_object").eqNullSafe(F.col("b_object")), "WINDOW_OVERLAP").otherwise("VALUE_CONFLICT")
-    return j.filter(first & hit).select(*SUBJECT, F.col("a_fact_id"), F.col("b_fact_id"), kind.alias("kind"))
+    return j.filter(hit).select(*SUBJECT, F.col("a_fact_id"), F.col("b_fact_id"), kind.alias("kind"))
 
 
 def chain_overlaps(facts: DataFrame) -> DataFrame:
     """Pairs of one subject, in order of valid_from and fact_id, of which the first ends after the second starts
-    (null ends never do), without those linked by parent or superseding fact."""
-    cols = ("fact_id", "valid_from", "valid_to", "parent_fact_id", "superseded_by")
-    side = lambda x: facts.select(*SUBJECT, *[F.col(c).alias(f"{x}_{c}") for c in cols])
-    j = side("a").join(side("b"), list(SUBJECT))
-    first = F.struct("a_valid_from", "a_fact_id") < F.struct("b_valid_from", "b_fact_id")
+    (null ends never do), without those linked by parent or superseding fact. Only facts that nearly overlap meet."""
+    j = overlapping(facts, list(SUBJECT), "fact_id", "valid_from", "valid_to", ["fact_id", "valid_from", "valid_to", "parent_fact_id", "superseded_by"])
     later = F.col("a_valid_to").isNull() | (F.col("a_valid_to") > F.col("b_valid_from"))
     pairs = (("a_superseded_by", "b_fact_id"), ("b_superseded_by", "a_fact_id"), ("a_parent_fact_id", "b_fact_id"), ("b_parent_fact_id", "a_fact_id"))
     linked = reduce(lambda x, y: x | y, [F.coalesce(F.col(p) == F.col(q), F.lit(False)) for p, q in pairs])
-    return j.filter(first & later & ~linked).select(*SUBJECT, "a_fact_id", "b_fact_id")
+    return j.filter(later & ~linked).select(*SUBJECT, "a_fact_id", "b_fact_id")
 
 
 def broken_links(facts: DataFrame) -> DataFrame:

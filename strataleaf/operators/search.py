@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Query vectors that are sent to all tasks at once.
+QUERY_BLOCK = 4096
 
 # Stop words of the two tokenisers.
 STOP_SHORT = ["the", "is", "in", "and", "to", "a", "of", "for", "on", "with", "as", "by"]
@@ -71,11 +80,63 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: f
     """(key, score) of documents that hold a query word. Only the query's words are read from the index; counts
     of documents and words are over all documents."""
     words = sorted(set(_plain(query, 1)))
-    own = tokens(F.col(text))
-    uses = lambda w: F.size(F.filter(own, lambda x: x == w))
-    rows = docs.select(key, F.size(own).alias("n"), *[uses(w).alias(f"t{i}") for i, w in enumerate(words)])
+    uses = lambda w: F.size(F.filter("own", lambda x: x == w))
+    rows = docs.select(key, tokens(F.col(text)).alias("own")).select(key, F.size("own").alias("n"), *[uses(w).alias(f"t{i}") for i, w in enumerate(words)])
     stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     j = rows.crossJoin(F.broadcast(stats))  # one row of totals
     part = lambda i: F.log(1 + (F.col("docs") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)) * F.col(f"t{i}") * (k1 + 1) / (F.col(f"t{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     score = sum((part(i) for i in range(len(words))), F.lit(0.0))
     return j.filter(F.greatest(F.lit(0), *[F.col(f"t{i}") for i in range(len(words))]) > 0).select(key, score.alias("score"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, least: float | None = None, same: bool = True, by: str | None = None) -> DataFrame:
+    """(qid, key, score, position): for each query (qid, q) the ``k`` vectors of greatest cosine (rounded to 6 places; ties: the least
+    key), with ``by`` the k values of that column by their best vector; only scores of ``least`` or more, and with ``same`` off not the vector
+    whose key is the query's id. A vector without length, or of another length than the query, scores 0.
+
+    Queries go in blocks of QUERY_BLOCK to all tasks, which is what bounds that; a task multiplies each batch of vectors with the
+    block and keeps the best of each query, so no pairs are shuffled but k a query and batch. More queries are more passes."""
+    spark = vectors.sparkSession
+    out_key = by or key
+    schema = T.StructType([T.StructField("qid", T.LongType()), vectors.schema[out_key], T.StructField("score", T.DoubleType())])
+
+    def unit(rows: list, width: int) -> np.ndarray:
+        m = np.array([v if v is not None and len(v) == width else [0.0] * width for v in rows], float).reshape(len(rows), width)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def one(block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = block.value
+            width = max(map(len, asked))
+            q = unit(asked, width)
+            for b in batches:
+                keys, groups = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+                score = np.round(q @ unit(b.column(1).to_pylist(), width).T, 6) + 0.0
+                found: list[tuple] = []
+                order = np.argsort(keys, kind="stable")
+                for i, qid in enumerate(ids):
+                    best = order[np.argsort(-score[i, order], kind="stable")]
+                    seen: set = set()
+                    for j in best:
+                        if len(seen) == k or (least is not None and score[i, j] < least):
+                            break
+                        if groups[j] not in seen and (same or keys[j] != qid):
+                            seen.add(groups[j])
+                            found.append((qid, groups[j], float(score[i, j])))
+                cols = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(list(cols[1]), b.schema.field(2).type), pa.array(cols[2], pa.float64())], names=schema.names)
+
+        return vectors.select(key, vector, F.col(out_key).alias("__g")).mapInArrow(run, schema)
+
+    parts, ids, asked = [], [], []
+    for r in queries.select(F.col("qid").cast("long"), "q").toLocalIterator():
+        ids.append(r[0])
+        asked.append([float(x) for x in r[1] or ()] or [0.0])
+        if len(ids) == QUERY_BLOCK:
+            parts.append(one(spark.sparkContext.broadcast((ids, asked))))
+            ids, asked = [], []
+    if ids or not parts:
+        parts.append(one(spark.sparkContext.broadcast((ids, asked or [[0.0]]))))
+    best = reduce(DataFrame.unionByName, parts).groupBy("qid", out_key).agg(F.max("score").alias("score"))
+    return top_k(best, ["qid"], k, F.desc("score"), F.col(out_key))

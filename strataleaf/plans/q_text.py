@@ -172,25 +172,22 @@ def fn01_texts(spark, d):
 _SCORED = "with q as (select vec_id qid, embedding::double[] q from embeddings where vec_id % 50 = 0), s as (select qid, vec_id, label, round(list_cosine_similarity(embedding::double[], q), 6) score from embeddings, q)"
 
 
-def scored(spark, d):
-    """Every vector with each query vector (ids divisible by 50). Where the queries are too many to be sent to all tasks, the
-    planner pairs blocks of both."""
+def asked(spark, d):
+    """Every vector whose id is divisible by 50 is a query."""
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return e.crossJoin(q).select("qid", "vec_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
 @query("srt06_vector_searches", f"{_SCORED} select qid, vec_id, score, position from (select *, row_number() over (partition by qid order by score desc, vec_id) position from s where score >= 0.3) where position <= 5")
 def srt06_all(spark, d):
     """The five vectors most like each query vector, at 0.3 or more."""
-    return R.top_k(scored(spark, d).filter("score >= 0.3"), ["qid"], 5, F.desc("score"), F.col("vec_id")).select("qid", "vec_id", "score", "position")
+    return R.nearest(*asked(spark, d), "vec_id", "embedding", 5, 0.3).select("qid", "vec_id", "score", "position")
 
 
 @query("srt07_documents_by_vectors", f"{_SCORED}, m as (select qid, label, max(score) score from s group by 1, 2) select qid, label, score, position from (select *, row_number() over (partition by qid order by score desc, label) position from m) where position <= 5")
 def srt07_all(spark, d):
     """The five labels most like each query vector, by their best vector."""
-    best = scored(spark, d).groupBy("qid", "label").agg(F.max("score").alias("score"))
-    return R.top_k(best, ["qid"], 5, F.desc("score"), F.col("label")).select("qid", "label", "score", "position")
+    return R.nearest(*asked(spark, d), "vec_id", "embedding", 5, by="label").select("qid", "label", "score", "position")
 
 
 @query("fn10_cosine_to_label_mean", """with d as (select label, i, avg(v::double) m from (select label, unnest(embedding) v, generate_subscripts(embedding, 1) i from embeddings) group by 1, 2), c as (select label, list(m order by i) c from d group by 1)
