@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strataleaf.functions.ids import norm_id
-from strataleaf.session import materialise, store
+from strataleaf.session import drop, materialise, store
 
 
 def latest_nodes(nodes: DataFrame, *fields: str) -> DataFrame:
@@ -38,14 +38,13 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
         "key", "name", F.when(F.col("known"), F.col("parent")).alias("parent"),
         F.lit(1).cast("long").alias("d"), F.lit(1).cast("long").alias("w"), F.lit(0).cast("long").alias("e"), seg,
     )
-    t = materialise(t, "tree")
     linked = F.col("parent").isNotNull() & (F.col("parent") != F.col("key"))
-    rounds: list[tuple[DataFrame, DataFrame]] = []
-    while not t.filter(linked).isEmpty():
-        acted = materialise(_rake_and_choose(t), "raked")
-        t2 = materialise(_compress(acted), "compressed")
-        rounds.append((acted, t2))
-        t = t2.select("key", "name", "parent", "d", "w", "e", "seg")
+    t, left = _counted(t.withColumn("act", F.lit("keep")), "tree", linked)
+    rounds: list[DataFrame] = []
+    while left:
+        acted, left = _counted(_contracted(t.select("key", "name", "parent", "d", "w", "e", "seg")), "round", linked & (F.col("act") == "keep"))
+        rounds.append(acted)
+        t = acted.filter("act = 'keep'")
     done = t.select(
         "key", "name", F.when(F.col("parent").isNull(), F.col("name")).alias("root"),
         F.lit(0).cast("long").alias("level"), F.col("w").alias("size"), F.when(F.col("parent").isNull(), F.col("seg")).alias("path"),
@@ -53,8 +52,9 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     paths = [store(done, "resolved")]
     # one scan of all tables so far: the plan stays the same size in each round
     resolved = lambda: links.sparkSession.read.schema(done.schema).parquet(*paths)
-    for acted, t2 in reversed(rounds):
-        paths.append(store(_expand(acted, t2, resolved()), "resolved"))
+    for acted in reversed(rounds):
+        paths.append(store(_expand(acted, resolved()), "resolved"))
+        drop(acted)
     out = resolved()
     rooted = F.col("root").isNotNull()
     cols = [
@@ -66,8 +66,15 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     return out.select(*cols, *([F.col("path")] if with_paths else []))
 
 
-def _rake_and_choose(t: DataFrame) -> DataFrame:
-    """``t`` with act: ``rake`` (a leaf), ``take`` (unary, chosen) or ``keep``; w has the raked leaves' sizes."""
+def _counted(df: DataFrame, name: str, which: Column) -> tuple[DataFrame, int]:
+    """The stored table, and how many of its rows are ``which``, counted as it is written."""
+    seen = Observation()
+    return materialise(df.observe(seen, F.count_if(which).alias("n")), name), seen.get["n"]
+
+
+def _contracted(t: DataFrame) -> DataFrame:
+    """``t`` with act: ``rake`` (a leaf), ``take`` (unary, chosen) or ``keep``; w has the raked leaves' sizes. Kept nodes under a
+    taken one hang on its parent, and u_* is the taken one, to be recorded."""
     linked = F.col("parent").isNotNull() & (F.col("parent") != F.col("key"))
     kids = t.filter(linked).groupBy("parent").agg(F.count(F.lit(1)).alias("kids"), F.max("key").alias("child"))
     j = t.join(kids.withColumnRenamed("parent", "key"), "key", "left")
@@ -77,30 +84,24 @@ def _rake_and_choose(t: DataFrame) -> DataFrame:
     h = lambda c: F.struct(F.xxhash64(c), F.col(c))
     take = linked & (F.col("kids") == 1) & F.col("added").isNull() & (h("key") < h("child")) & (h("key") < h("parent"))
     act = F.when(leaf, "rake").when(take, "take").otherwise("keep")
-    return j.select("key", "name", "parent", "d", (F.col("w") + F.coalesce("added", F.lit(0))).alias("w"), "e", "seg", act.alias("act"))
-
-
-def _compress(acted: DataFrame) -> DataFrame:
-    """The kept nodes, those under a taken node hung on its parent; u_* is the taken node, to be recorded."""
-    u = acted.filter("act = 'take'").select(
-        F.col("key").alias("u_key"), F.col("name").alias("u_name"), F.col("parent").alias("u_parent"), F.col("d").alias("u_d"),
-        F.col("w").alias("u_w"), F.col("e").alias("u_e"), F.col("seg").alias("u_seg"),
-    )
-    j = acted.filter("act = 'keep'").join(u, F.col("parent") == F.col("u_key"), "left")
+    j = j.select("key", "name", "parent", "d", (F.col("w") + F.coalesce("added", F.lit(0))).alias("w"), "e", "seg", act.alias("act"))
+    u = j.filter("act = 'take'").select(*[F.col(c).alias(f"u_{c}") for c in ("key", "name", "parent", "d", "w", "e", "seg")])
+    # a taken node's only child is kept, as of neighbours only one is chosen and a leaf would have been added
+    j = j.join(u, F.col("parent") == F.col("u_key"), "left")
     hit = F.col("u_key").isNotNull()
     return j.select(
         "key", "name", F.when(hit, F.col("u_parent")).otherwise(F.col("parent")).alias("parent"),
         (F.col("d") + F.coalesce("u_d", F.lit(0))).alias("d"), "w",
         (F.col("e") + F.coalesce("u_w", F.lit(0)) + F.coalesce("u_e", F.lit(0))).alias("e"),
-        F.when(hit, F.concat("u_seg", "seg")).otherwise(F.col("seg")).alias("seg"),
+        F.when(hit, F.concat("u_seg", "seg")).otherwise(F.col("seg")).alias("seg"), "act",
         "u_key", "u_name", "u_parent", "u_d", "u_seg", (F.col("u_w") + F.col("e")).alias("u_base"),
     )
 
 
-def _expand(acted: DataFrame, t2: DataFrame, resolved: DataFrame) -> DataFrame:
+def _expand(acted: DataFrame, resolved: DataFrame) -> DataFrame:
     """What a round removed, resolved by what was left after it."""
     raked = acted.filter("act = 'rake'").select("key", "name", "parent", "d", "seg", F.col("w").alias("size"))
-    taken = t2.filter("u_key is not null")
+    taken = acted.filter("u_key is not null")
     sizes = resolved.select("key", F.col("size").alias("below"))
     taken = taken.select("key", "u_key", "u_name", "u_parent", "u_d", "u_seg", "u_base").join(sizes, "key")
     taken = taken.select(
