@@ -1,14 +1,25 @@
-"""Every query of the core that SQL can express gives the rows of its twin."""
+"""Every query of the core that SQL can express gives the rows of its twin; where the others are compared with plain Python."""
 
+import re
 from pathlib import Path
 
 import pytest
 
+from strataleaf.operators import extract as X
 from strataleaf.plans import registry
+from strataleaf.sources.tables import table
 from tests.oracle import differences
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+#: Queries whose patterns have word borders, which the twins' engine reads otherwise: compared with Python's own below.
+KINDS = {"gen04_organizations": "organization", "gen05_people": "person", "gen06_products": "product", "fn16_long_dates": "long_date", "fn17_iso_dates": "iso_date"}
+#: Queries without a twin that have tests of their own, and where.
+ELSEWHERE = {
+    "src02_markdown_nodes": "test_sources", "snk14_export": "test_sources", "str07_rate_limited": "test_streams", "fn16_source_dates": "test_dates", "fn01_text_metrics": "test_whole_metrics",
+    "grf06_cyclic_edges": "test_cycles", "grf07_closes_cycle": "test_cycles", "grf08_nodes_on_cycles": "test_cycles", "joi14_semantic_links": "test_likeness", "fn23_similar_nodes": "test_likeness",
+    "grf19_clusters": "test_likeness", "grf20_contradictions": "test_likeness", "grf21_dated_overrides": "test_likeness", "qry09_coverage": "test_navigation",
+}
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -16,7 +27,29 @@ def test_twin(spark, name):
     assert not differences(registry.QUERIES[name](spark, DATA), registry.SQL[name], DATA)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.SQL.keys()))
-def test_runs(spark, name):
-    df = registry.QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+def plain_matches(spark, kinds):
+    out = []
+    for r in table(spark, DATA, "documents").select("doc_id", "text").collect():
+        for kind in kinds:
+            pattern, a, b = X.PATTERNS[kind]
+            out += [(r.doc_id, kind, no, m.group(a), m.group(b)) for no, m in enumerate(re.finditer(pattern, r.text or ""))]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("name", sorted(KINDS))
+def test_patterns(spark, name):
+    got = registry.QUERIES[name](spark, DATA).select("doc_id", "match_no", "subject", "object").collect()
+    assert sorted((r.doc_id, KINDS[name], r.match_no, r.subject, r.object) for r in got) == plain_matches(spark, [KINDS[name]])
+
+
+def test_all_facts(spark):
+    rows = registry.QUERIES["gen01_all_facts"](spark, DATA).collect()
+    assert sorted((r.doc_id, r.kind, r.match_no, r.subject, r.object) for r in rows) == plain_matches(spark, list(X.PATTERNS))
+    assert len({r.fact_id for r in rows}) == len(rows) > 100
+
+
+def test_all_others_are_tested_elsewhere():
+    left = registry.QUERIES.keys() - registry.SQL.keys() - KINDS.keys() - {"gen01_all_facts"}
+    assert left == ELSEWHERE.keys()
+    for name, module in ELSEWHERE.items():
+        assert Path(__file__).with_name(f"{module}.py").exists(), name

@@ -98,6 +98,7 @@ def test_patterns_against_python(spark):
     import re
 
     text = "Dr. Jane Smith and Élodie Martin met on 2024-05-06, see Section 2.1; (Smith et al., 2020). GDPR and ISO 9001; from 2020 to 2021-01-01. On 3 May 2021 Revenue rose 5.5% to $1,000.50 in q3."
+    text += "\nThe Vendor shall deliver the goods on time\nNext line here\nThe Agent is responsible for the goods delivered.\nPayment: net thirty days\nOther\r\nTerm = two years\r\nMegaSuite and DataEngine 5\u00a0k"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "k long, t string")
     for kind, (pattern, a, b) in X.PATTERNS.items():
         got = [(r.subject, r.object) for r in sorted(X.matches(df, "k", "t", kind).collect(), key=lambda r: r.match_no)]
