@@ -33,15 +33,23 @@ def add_slices(df: DataFrame, key: str, order: str, hot_rows: int = HOT_ROWS, sl
     )
 
 
-def numbered(df: DataFrame, key: str, order: str, prefix: int = 2) -> DataFrame:
-    """``df`` with ``position``, from 1, of each row in its key in the order of a text column (ties in any order).
+def running(df: DataFrame, key: str, order: str, sums: dict[str, str], prefix: int = 2) -> DataFrame:
+    """``df`` with running sums, by new name, of columns in each key in the order of a text column, the row itself included (of
+    ties, in any order).
 
-    Rows are numbered within the key's rows that share their first ``prefix`` characters; what stands before comes from
-    counts by prefix, so a key with many rows is as many tasks as it has prefixes."""
+    Sums are made within the key's rows that share their first ``prefix`` characters; what stands before comes from the totals by
+    prefix, so a key with many rows is as many tasks as it has prefixes."""
     rows = df.withColumn("__p", F.coalesce(F.substring(order, 1, prefix), F.lit("")))
     before = Window.partitionBy(key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(key, "__p").agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0).cast("long")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(key, "__p").orderBy(order))
-    out = rows.withColumn("__own", own).join(counts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
-    return out.withColumn("position", F.col("__before") + F.col("__own")).drop("__p", "__k", "__q", "__before", "__own")
+    counts = rows.groupBy(key, "__p").agg(*[F.sum(c).alias(f"__c_{n}") for n, c in sums.items()])
+    past = [F.coalesce(F.sum(f"__c_{n}").over(before), F.lit(0).cast("long")).alias(f"__b_{n}") for n in sums]
+    counts = counts.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), *past)
+    own = Window.partitionBy(key, "__p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"__o_{n}": F.sum(c).over(own) for n, c in sums.items()})
+    out = out.join(counts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")))
+    return out.select(*df.columns, *[(F.col(f"__b_{n}") + F.col(f"__o_{n}")).cast("long").alias(n) for n in sums])
+
+
+def numbered(df: DataFrame, key: str, order: str, prefix: int = 2) -> DataFrame:
+    """``df`` with ``position``, from 1, of each row in its key in the order of a text column (ties in any order), by :func:`running`."""
+    return running(df.withColumn("__one", F.lit(1)), key, order, {"position": "__one"}, prefix).drop("__one")

@@ -9,6 +9,7 @@ from strataleaf.functions.ids import micros
 from strataleaf.operators import extract as X
 from strataleaf.operators import graph as G
 from strataleaf.operators import search as R
+from strataleaf.operators.slices import numbered
 from strataleaf.plans import pipeline
 from strataleaf.plans.base import Registry
 from strataleaf.plans.q_facts import D90, _PAIR, facts
@@ -46,8 +47,8 @@ def gen12(spark, d):
 select 'policy:' || left(doc_id, 8) || '_' || row_number() over (partition by doc_id order by node_id, content) as source, node_id as target from p""")
 def gen15(spark, d):
     n = table(spark, d, "apex_ast_nodes").select("doc_id", "node_id", "content").distinct().filter(F.rlike("content", F.lit(r"\b(shall|must)\b")))
-    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id", "content"))
-    return n.select(F.concat(F.lit("policy:"), F.substring("doc_id", 1, 8), F.lit("_"), no.cast("string")).alias("source"), F.col("node_id").alias("target"))
+    n = numbered(n, "doc_id", "node_id")
+    return n.select(F.concat(F.lit("policy:"), F.substring("doc_id", 1, 8), F.lit("_"), F.col("position").cast("string")).alias("source"), F.col("node_id").alias("target"))
 
 
 @query("gen17_fact_pairs", f"{D90} select a.fact_id as source, b.fact_id as target, case when a.object <> b.object then 'CONTRADICTS' else 'SUPPORTS' end as edge_type {_PAIR} where a.fact_id < b.fact_id")

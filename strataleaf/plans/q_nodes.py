@@ -9,6 +9,8 @@ from strataleaf.functions.ids import micros
 from strataleaf.operators import facts as O
 from strataleaf.operators import temporal as T
 from strataleaf.plans.base import Registry
+from strataleaf.operators.slices import numbered, running
+from strataleaf.session import materialise
 from strataleaf.sources.tables import table
 
 query = Registry()
@@ -152,14 +154,17 @@ def agg04(spark, d):
     return nodes(spark, d).select("tenant_id", "doc_id").distinct()
 
 
-@query("agg10_document_text", f"""select doc_id, md5(string_agg(content, chr(10) || chr(10) order by version_number, created_at, version_id)) as digest, count(*) as n_parts from (select distinct doc_id, version_id, version_number, created_at, content
-from node_versions where {_IN.format(T1)}) group by 1""")
+@query("agg10_document_text", f"""with v as (select distinct doc_id, version_id, version_number, created_at, content from node_versions where {_IN.format(T1)})
+select doc_id, version_id, md5(content) as digest, row_number() over w as part_no, coalesce(sum(length(coalesce(content, '')) + 2) over (partition by doc_id order by version_number, created_at, version_id, content rows between unbounded preceding and 1 preceding), 0)::bigint as start_pos
+from v window w as (partition by doc_id order by version_number, created_at, version_id, content)""")
 def agg10(spark, d):
-    """The text of each document at an instant, as a digest and its number of parts."""
+    """The text of each document at an instant: its parts in order and where each begins, joined by blank lines. No document is put
+    together in one place; a reader or writer takes the parts by offset."""
     v = versions(spark, d).filter(O.valid_at(T1, "effective_from", "effective_to")).select("doc_id", "version_id", "version_number", "created_at", "content").distinct()
-    parts = F.array_sort(F.collect_list(F.struct("version_number", "created_at", "version_id", "content")))
-    v = v.groupBy("doc_id").agg(parts.alias("p"))
-    return v.select("doc_id", F.md5(F.array_join("p.content", "\n\n")).alias("digest"), F.size("p").cast("long").alias("n_parts"))
+    order = F.concat(F.lpad(F.col("version_number").cast("string"), 10, "0"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.coalesce("version_id", F.lit("")), F.lit("|"), F.coalesce("content", F.lit("")))
+    v = v.withColumn("o", order).withColumn("one", F.lit(1)).withColumn("size", F.length(F.coalesce("content", F.lit(""))) + 2)
+    v = running(v, "doc_id", "o", {"part_no": "one", "upto": "size"}, 17)
+    return v.select("doc_id", "version_id", F.md5("content").alias("digest"), "part_no", (F.col("upto") - F.col("size")).alias("start_pos"))
 
 
 @query("win01_latest_versions", """select node_id, max_by(version_id, (coalesce(is_current and validity_status = 'ACTIVE', false), version_number, version_id)) as version_id, count(*) as n_versions
@@ -199,9 +204,12 @@ def win04(spark, d):
 @query("win05_successors", """with n as (select distinct doc_id, node_id, source_date from apex_ast_nodes where source_date is not null)
 select doc_id, node_id as source, lead(node_id) over (partition by doc_id order by source_date, node_id) as target from n qualify target is not null""")
 def win05(spark, d):
+    """Each dated node's successor in its document, met by numbers, so a document with many nodes is no single window."""
     n = nodes(spark, d).filter("source_date is not null").select("doc_id", "node_id", "source_date").distinct()
-    n = n.withColumn("target", F.lead("node_id").over(Window.partitionBy("doc_id").orderBy("source_date", "node_id")))
-    return n.filter("target is not null").select("doc_id", F.col("node_id").alias("source"), "target")
+    n = n.withColumn("o", F.concat(F.date_format("source_date", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("node_id")))
+    n = materialise(numbered(n, "doc_id", "o", 7).select("doc_id", "node_id", "position"), "numbered")
+    after = n.select("doc_id", F.col("node_id").alias("target"), (F.col("position") - 1).alias("position"))
+    return n.join(after, ["doc_id", "position"]).select("doc_id", F.col("node_id").alias("source"), "target")
 
 
 @query("win08_superseded_nodes", "select node_id, bool_or(superseded_by is not null) as superseded from apex_temporal_metadata group by 1")

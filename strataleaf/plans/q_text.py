@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataleaf.operators import extract as X
 from strataleaf.operators import search as R
+from strataleaf.operators.slices import numbered
 from strataleaf.plans.base import Registry
 from strataleaf.sources.tables import table
 
@@ -82,7 +82,7 @@ def srt04(spark, d):
 @query("srt12_page_index", "select doc_id, term, position from (select doc_id, term, row_number() over (partition by doc_id order by term) position from (select distinct doc_id, content term from apex_ast_nodes where node_type = 'HEADING'))")
 def srt12(spark, d):
     h = table(spark, d, "apex_ast_nodes").filter("node_type = 'HEADING'").select("doc_id", F.col("content").alias("term")).distinct()
-    return h.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("term")).cast("long"))
+    return numbered(h, "doc_id", "term")
 
 
 _SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
