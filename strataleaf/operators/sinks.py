@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +58,19 @@ def exported(nodes: DataFrame) -> DataFrame:
     kids = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_set("node_id")).alias("children"))
     j = nodes.join(kids, "node_id", "left")
     return j.select("doc_id", "node_id", F.to_json(F.struct("node_id", "node_type", "content", F.coalesce("children", F.array().cast("array<string>")).alias("children"))).alias("json"))
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file for each row (name, content) in ``folder``, which all executors see; null contents make empty files. Workers write their
+    rows one by one, a repeated task replaces its own files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        fs.create_dir(at)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                with fs.open_output_stream(f"{at}/{name}") as f:
+                    f.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rows.select("name", "content").mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from strataleaf.functions.embed import embedded_texts
 from strataleaf.functions.ids import norm_id
+from strataleaf.operators import learned, sinks
 from strataleaf.operators import navigation as N
+from strataleaf.operators import routes as R2
 from strataleaf.operators import search as R
 from strataleaf.operators.hierarchy import latest_nodes
 from strataleaf.plans import pipeline
 from strataleaf.plans.base import Registry
 from strataleaf.plans.q_more import _NAV
+from strataleaf.plans.q_routes import DATES, QUESTIONS, questions, texts
 from strataleaf.plans.q_text import _STOPL, Q, _tok
-from strataleaf.sources import code
+from strataleaf.session import new_path
+from strataleaf.sources import code, files
 from strataleaf.sources.chunks import greedy_chunks
 from strataleaf.sources.markdown import section_paths
 from strataleaf.sources.tables import table
@@ -174,3 +178,54 @@ def qry02(spark, d):
 def qry09(spark, d):
     """The seeded simulation of coverage with a threshold calibrated on the questions' best scores."""
     return N.simulated_coverage(spark, [k / 100 for k in range(1, 101)])
+
+
+@query("src01_parsed_files", """select doc_id::varchar as name, case doc_id % 3 when 0 then 'markdown' when 1 then 'markdown' else 'python' end as kind, md5(coalesce(text, '')) as digest from documents""")
+def src01(spark, d):
+    """Documents as files, read back by what their names tell."""
+    folder = new_path(spark, "files")
+    ending = F.element_at(F.array(F.lit(".md"), F.lit(".unknown"), F.lit(".py")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, d, "documents")
+    sinks.write_files(docs.select(F.concat(F.col("doc_id").cast("string"), ending).alias("name"), F.col("text").alias("content")), folder)
+    back = files.read_texts(spark, folder)
+    return back.select(F.regexp_extract("path", r"([^/.]+)\.[a-z]+$", 1).alias("name"), "kind", F.md5("text").alias("digest"))
+
+
+@query("src06_image_files", """select 'Scan ' || doc_id as title, 'data:image/png;base64,' || to_base64(('PNG' || doc_id)::blob) as data_uri from documents""")
+def src06(spark, d):
+    """Image files as data URIs with titles from their names, one for each document."""
+    folder = new_path(spark, "images")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("k"))
+    sinks.write_files(docs.select(F.concat(F.lit("scan_"), "k", F.lit(".png")).alias("name"), F.concat(F.lit("PNG"), "k").alias("content")), folder)
+    return files.read_binary(spark, folder).select("title", "data_uri")
+
+
+_RANGE = """u as (select id, ds[1] d1, ds[2] d2, len(ds) n from dt), v as (select version_id, node_id, min(effective_from) f, max(coalesce(effective_to, timestamp '9999-12-31')) e from node_versions where effective_from is not null group by 1, 2)
+select id, case when n >= 2 then 'range' when n = 1 then 'as_of' else 'latest' end as kind, case when n >= 2 then (select count(*) from v where f <= d2 and e >= d1) when n = 1 then (select count(*) from v where f <= d1 and e > d1) else (select count(distinct node_id) from node_versions where is_current) end as n_versions from u"""
+
+
+@query("qry07_answers", f"with {QUESTIONS}, {DATES}, {_RANGE}")
+def qry07(spark, d):
+    """What a question about one instant, a range or now is answered from: versions in force, in the closed range, or current nodes."""
+    q = questions(spark, d).select("id", R2.parsed_dates(F.col("text")).alias("ds"))
+    q = q.select("id", F.get("ds", 0).alias("d1"), F.when(F.size("ds") >= 2, F.get("ds", 1)).alias("d2"))
+    far = F.lit("9999-12-31").cast("timestamp_ntz")
+    v = table(spark, d, "node_versions").filter("effective_from is not null").groupBy("version_id", "node_id")
+    v = v.agg(F.min("effective_from").alias("f"), F.max(F.coalesce("effective_to", far)).alias("e"))
+    # dates come from the questions, so their number is bounded by these and not by the versions
+    asked = q.select("d1", "d2").filter("d1 is not null").distinct()
+    hit = v.join(asked, F.when(F.col("d2").isNull(), (F.col("f") <= F.col("d1")) & (F.col("e") > F.col("d1"))).otherwise((F.col("f") <= F.col("d2")) & (F.col("e") >= F.col("d1"))))
+    hit = hit.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"d1": "x1", "d2": "x2"})
+    now = table(spark, d, "node_versions").filter("is_current").agg(F.countDistinct("node_id").alias("n_current"))
+    j = q.join(hit, F.col("d1").eqNullSafe(F.col("x1")) & F.col("d2").eqNullSafe(F.col("x2")), "left").crossJoin(F.broadcast(now))  # one row
+    kind = F.when(F.col("d2").isNotNull(), "range").when(F.col("d1").isNotNull(), "as_of").otherwise("latest")
+    return j.select("id", kind.alias("kind"), F.when(F.col("d1").isNull(), F.col("n_current")).otherwise(F.coalesce("c", F.lit(0).cast("long"))).alias("n_versions"))
+
+
+@query("qry14_learned_routes")
+def qry14(spark, d):
+    """Projections that texts need, by a router fitted on a bounded sample of what the word lists say."""
+    t = texts(spark, d)
+    labelled = t.select("text", *[c.alias(k) for k, c in R2.projections(F.col("text")).items()])
+    labels = list(R2.SIGNALS)
+    return learned.route(learned.fit(labelled, labels), t.select("id", "text"), labels).drop("text")

@@ -18,9 +18,9 @@ def kind_of(path: Column) -> Column:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text), a row a file."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return t.withColumn("kind", kind_of(F.col("path")))
+    """(path, kind, text), a row a file, empty ones included; read as bytes and taken as UTF-8."""
+    b = spark.read.format("binaryFile").load(path)
+    return b.select("path", F.col("content").cast("string").alias("text"), kind_of(F.col("path")).alias("kind"))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:

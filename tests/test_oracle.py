@@ -18,7 +18,7 @@ KINDS = {"gen04_organizations": "organization", "gen05_people": "person", "gen06
 ELSEWHERE = {
     "src02_markdown_nodes": "test_sources", "snk14_export": "test_sources", "str07_rate_limited": "test_streams", "fn16_source_dates": "test_dates", "fn01_text_metrics": "test_whole_metrics",
     "grf06_cyclic_edges": "test_cycles", "grf07_closes_cycle": "test_cycles", "grf08_nodes_on_cycles": "test_cycles", "joi14_semantic_links": "test_likeness", "fn23_similar_nodes": "test_likeness",
-    "grf19_clusters": "test_likeness", "grf20_contradictions": "test_likeness", "grf21_dated_overrides": "test_likeness", "qry09_coverage": "test_navigation",
+    "grf19_clusters": "test_likeness", "grf20_contradictions": "test_likeness", "grf21_dated_overrides": "test_likeness", "qry09_coverage": "test_navigation", "qry14_learned_routes": "test_office",
 }
 
 
