@@ -180,7 +180,7 @@ def qry09(spark, d):
     return N.simulated_coverage(spark, [k / 100 for k in range(1, 101)])
 
 
-@query("src01_parsed_files", """select doc_id::varchar as name, case doc_id % 3 when 0 then 'markdown' when 1 then 'markdown' else 'python' end as kind, md5(coalesce(text, '')) as digest from documents""")
+@query("src01_parsed_files", """select doc_id::varchar as name, case doc_id % 3 when 0 then 'markdown' when 1 then 'markdown' else 'python' end as kind, md5(text) as digest from documents where text <> ''""")
 def src01(spark, d):
     """Documents as files, read back by what their names tell."""
     folder = new_path(spark, "files")

@@ -18,7 +18,7 @@ def kind_of(path: Column) -> Column:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, text), a row a file, empty ones included; read as bytes and taken as UTF-8."""
+    """(path, kind, text), a row a file, read as bytes and taken as UTF-8. Empty files have no row, as a scan passes them over."""
     b = spark.read.format("binaryFile").load(path)
     return b.select("path", F.col("content").cast("string").alias("text"), kind_of(F.col("path")).alias("kind"))
 
