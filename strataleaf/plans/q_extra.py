@@ -16,7 +16,7 @@ from strataleaf.operators.components import components
 from strataleaf.operators.hierarchy import latest_nodes
 from strataleaf.plans.base import Registry
 from strataleaf.plans.q_facts import _AT, _CHAIN, _CONFLICT, _DELTA, FLAWED90, D90, LEAD, STEPS, T0, T1, _flawed, facts
-from strataleaf.plans.q_graph import _BFS, _roots, edges
+from strataleaf.plans.q_graph import _BFS, EMBEDDED, _roots, edges, likeness_sql
 from strataleaf.plans.q_text import _tok
 from strataleaf.sources.tables import table
 
@@ -134,13 +134,18 @@ def grf19(spark, d):
     return components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")).groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_clusters"))
 
 
-@query("fn23_similar_nodes")
+_WORDS4 = "[w for w in regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+') if regexp_full_match(w, '[a-z]{{4,}}')]"
+_DENIES = " or ".join(f"coalesce(regexp_matches(lower({c}), $r${p}$r$), false)" for p in X.NEGATIONS for c in ("xc", "yc"))
+_DENIED = f"with {EMBEDDED}, q as (select * from pr where cos > 0.65 and xs <> ys and len(list_intersect({_WORDS4.format('xc')}, {_WORDS4.format('yc')})) > 0 and ({_DENIES}))"
+
+
+@query("fn23_similar_nodes", likeness_sql("cos > 0.65", "xs <> ys"))
 def fn23_all(spark, d):
     """Each embedded node's class of like nodes of its document and with how many of another text it is like."""
     return L.like_nodes(L.embedded(nodes(spark, d)), 0.65, texts_differ=True)
 
 
-@query("grf19_clusters")
+@query("grf19_clusters", f"select k as n_nodes, count(*) as n_clusters from (select count(*) k from (select coalesce(class_id, node_id) c from (select distinct lower(trim(node_id, ' ')) node_id from apex_ast_nodes where trim(node_id, ' ') <> '') left join ({likeness_sql('cos > 0.65')}) using (node_id)) group by c) group by 1")
 def grf19_all(spark, d):
     """Single-linkage clusters over all nodes of a document, by size; a node without an embedding is one of its own."""
     c = L.like_nodes(L.embedded(nodes(spark, d)), 0.65).select("node_id", "class_id")
@@ -149,13 +154,13 @@ def grf19_all(spark, d):
     return sizes.groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_clusters"))
 
 
-@query("grf20_contradictions")
+@query("grf20_contradictions", f"{_DENIED} select x, y from q")
 def grf20_all(spark, d):
     """Like nodes of a document that share a word of four letters or more, of which one denies something."""
     return L.contradicting(L.embedded(nodes(spark, d))).select("x", "y")
 
 
-@query("grf21_dated_overrides")
+@query("grf21_dated_overrides", f"{_DENIED} select case when xd >= yd then x else y end as newer, case when xd >= yd then y else x end as older from q where xd is not null and yd is not null")
 def grf21_all(spark, d):
     """Of two dated nodes that contradict each other the newer overrides the older; at one date the first by id counts as newer."""
     c = L.contradicting(L.embedded(nodes(spark, d)).filter("dated is not null")).withColumn("first", F.expr("x_dated >= y_dated"))

@@ -14,6 +14,18 @@ from strataleaf.plans.base import Registry
 from strataleaf.sources.tables import table
 
 query = Registry()
+_BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Each embedded node as the row that counts has it, and each two of a document.
+EMBEDDED = rf"""n as (select * from (select *, lower(trim(node_id, ' ')) k, row_number() over (partition by lower(trim(node_id, ' ')) order by ingestion_date desc nulls last, doc_id desc nulls last, parent_id desc nulls last, embedding desc nulls last, content desc nulls last, source_date desc nulls last) r from apex_ast_nodes where trim(node_id, ' ') <> '') where r = 1),
+m as (select k id, doc_id doc, nullif(lower(trim(parent_id, ' ')), '') parent, embedding v, content, source_date, regexp_replace(lower(coalesce(content, '')), '^{_BLANKS}|{_BLANKS}$', '', 'g') same from n where len(embedding) = 4 and list_sum([x * x for x in embedding]) > 0),
+pr as (select a.id x, b.id y, a.parent xp, b.parent yp, a.content xc, b.content yc, a.same xs, b.same ys, a.source_date xd, b.source_date yd, list_cosine_similarity(a.v, b.v) cos from m a join m b on a.doc = b.doc and a.id < b.id)"""
+
+
+def likeness_sql(hit: str, counted: str = "true") -> str:
+    """Twin of like_nodes: classes over the pairs that ``hit``, and how many links, of those that are ``counted``, a node has."""
+    return f"""with recursive {EMBEDDED}, h as (select x, y, {counted} counts from pr where {hit}), u as (select x, y, counts from h union all select y, x, counts from h),
+c as (select id a, id b from m union select c.a, u.y from c join u on u.x = c.b), d as (select a, min(b) class_id from c group by 1)
+select m.id as node_id, d.class_id, (select count(*) from u where u.x = m.id and u.counts) as n_links from m join d on d.a = m.id"""
 _E = "e as (select distinct edge_id, source_node_id s, target_node_id t, edge_type k, strength from apex_causal_edges)"
 
 
@@ -60,7 +72,8 @@ def grf05(spark, d):
     return G.closure(e.select(F.col("s").alias("a"), F.col("t").alias("b")), 4)
 
 
-@query("grf06_cyclic_edges")
+@query("grf06_cyclic_edges", f"""with recursive {_E}, l as (select distinct s a, t b from e where s is not null and t is not null), w as (select a, b from l union select w.a, l.b from w join l on l.a = w.b), c as (select distinct a n from w where a = b),
+f as (select n from c union select w.b from w join c on c.n = w.a), g as (select n from c union select w.a from w join c on c.n = w.b) select a, b from l where a in (from f) and b in (from g)""")
 def grf06(spark, d):
     """Links that lie on cycles or between them: a write-time check would have to reject some of these."""
     return G.cyclic_core(edges(spark, d).select(F.col("s").alias("a"), F.col("t").alias("b")))
@@ -128,7 +141,7 @@ def joi14(spark, d):
     return R.nearest(e, q, "vec_id", "embedding", 5, same=False).select("qid", "vec_id", "score", "position")
 
 
-@query("joi14_semantic_links")
+@query("joi14_semantic_links", likeness_sql("cos >= 0.75 and not (coalesce(xp = y, false) or coalesce(yp = x, false) or coalesce(xp = yp, false))"))
 def joi14_all(spark, d):
     """Nodes of a document at cosine 0.75 or more that are neither parent and child nor siblings: each embedded node's class
     over these links and how many it has."""

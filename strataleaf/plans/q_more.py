@@ -151,7 +151,11 @@ def _same_edges(spark, d):
     return table(spark, SameIds(d), "apex_causal_edges").select("edge_id", F.col("source_node_id").alias("s"), F.col("target_node_id").alias("t"), "edge_type").distinct()
 
 
-@query("grf07_closes_cycle")
+_SAME = "e as (select distinct edge_id, case when starts_with(lower(trim(source_node_id, ' ')), 'entity:') then source_node_id else nullif(lower(trim(source_node_id, ' ')), '') end s, case when starts_with(lower(trim(target_node_id, ' ')), 'entity:') then target_node_id else nullif(lower(trim(target_node_id, ' ')), '') end t, edge_type k from apex_causal_edges)"
+_REACH = "w as (select a, b from l union select w.a, l.b from w join l on l.a = w.b)"
+
+
+@query("grf07_closes_cycle", f"with recursive {_SAME}, l as (select distinct s a, t b from e where k in ('DEPENDS_ON', 'IMPORTS', 'REFERENCES') and s is not null and t is not null), {_REACH} select distinct e.edge_id from e join w on w.a = e.t and w.b = e.s")
 def grf07_all(spark, d):
     """Edges whose target reaches their source over dependency links, however many: adding them closes a cycle."""
     e = _same_edges(spark, d)
@@ -159,7 +163,7 @@ def grf07_all(spark, d):
     return G.closing(l, e).select("edge_id").distinct()
 
 
-@query("grf08_nodes_on_cycles")
+@query("grf08_nodes_on_cycles", f"with recursive {_SAME}, l as (select distinct s a, t b from e where s is not null and t is not null), {_REACH} select distinct a as node_id from w where a = b")
 def grf08_all(spark, d):
     """Nodes from which edges lead back to them."""
     return G.on_cycles(_same_edges(spark, d).select(F.col("s").alias("a"), F.col("t").alias("b")).filter("a is not null and b is not null")).select(F.col("node").alias("node_id"))

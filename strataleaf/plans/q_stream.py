@@ -25,7 +25,10 @@ def str10(spark, d):
     return w.select(micros("window_from").alias("from_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("str07_rate_limited")
+@query("str07_rate_limited", """with recursive g as (select event_id, user_id, epoch_us(ts) us, row_number() over (partition by user_id order by ts, event_id) n from events),
+w as (select user_id, event_id, n, [us] seen, true allowed from g where n = 1 union all
+select g.user_id, g.event_id, g.n, [x for x in w.seen if g.us - x < 21600000000] || case when len([x for x in w.seen if g.us - x < 21600000000]) < 3 then [g.us] else [] end, len([x for x in w.seen if g.us - x < 21600000000]) < 3 from w join g on g.user_id = w.user_id and g.n = w.n + 1)
+select event_id as id, user_id as key, allowed from w""")
 def str07(spark, d):
     """At most three events a user in six hours."""
     e = J.read(spark, f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), micros("ts").alias("us"))

@@ -27,6 +27,24 @@ def _tok(c: str, least: int = 1, stop: str = _STOP) -> str:
     return f"[w for w in regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]{{{least},}}') if w not in {stop}]"
 
 
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def re2(pattern: str) -> str:
+    """A pattern without word borders as the SQL twins' engine has to be told it: blanks and digits are Unicode's."""
+    inside, out = False, ""
+    for part in re.findall(r"\\.|[\[\]]|[^\\\[\]]+", pattern):
+        inside = part == "[" or (inside and part != "]")
+        out += {r"\s": _SPACE if inside else f"[{_SPACE}]", r"\d": r"\p{Nd}"}.get(part, part)
+    return out
+
+
+def unicode_twin(kind: str) -> str:
+    pattern, a, b = X.PATTERNS[kind]
+    return f"""with m as (select doc_id, regexp_extract_all(text, $r${re2(pattern)}$r$, {a}) a, regexp_extract_all(text, $r${re2(pattern)}$r$, {b}) b from documents)
+select doc_id, unnest(range(len(a))) as match_no, unnest(a) as subject, unnest(b) as object from m where len(a) > 0"""
+
+
 @query("fn12_tokens", f"with {_N} select node_id, array_to_string({_tok('content', 3, _STOPL)}, ' ') as tokens from n")
 def fn12(spark, d):
     return nodes(spark, d).select("node_id", F.array_join(R.tokens(F.col("content"), 3, R.STOP_LONG), " ").alias("tokens"))
@@ -85,24 +103,6 @@ def srt12(spark, d):
     return numbered(h, "doc_id", "term")
 
 
-_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-
-
-def re2(pattern: str) -> str:
-    """A pattern without word borders as the SQL twins' engine has to be told it: blanks and digits are Unicode's."""
-    inside, out = False, ""
-    for part in re.findall(r"\\.|[\[\]]|[^\\\[\]]+", pattern):
-        inside = part == "[" or (inside and part != "]")
-        out += {r"\s": _SPACE if inside else f"[{_SPACE}]", r"\d": r"\p{Nd}"}.get(part, part)
-    return out
-
-
-def unicode_twin(kind: str) -> str:
-    pattern, a, b = X.PATTERNS[kind]
-    return f"""with m as (select doc_id, regexp_extract_all(text, $r${re2(pattern)}$r$, {a}) a, regexp_extract_all(text, $r${re2(pattern)}$r$, {b}) b from documents)
-select doc_id, unnest(range(len(a))) as match_no, unnest(a) as subject, unnest(b) as object from m where len(a) > 0"""
-
-
 def _extraction(name: str, kind: str, pattern: str, a: int, b: int) -> None:
     """A query that extracts one kind from all documents; its twin's word borders are ASCII, so kinds that
     begin or end beside letters of other scripts have none and are tested against Python's patterns."""
@@ -150,19 +150,22 @@ _LIT = """v as (select version_id, arg_max(content, struct_pack(u := coalesce(up
 x as (select version_id, trim(split_part(t, ' = ', 2)) s from v)"""
 
 
-@query("fn01_content_metrics", f"""with {_LIT}, p as (select version_id, s, nullif(regexp_extract(s, '^(-?\\d+(?:\\.\\d+)?)\\s*%$', 1), '') pc, regexp_extract(s, '^([₹$€£¥])?\\s*(-?\\d+(?:\\.\\d+)?)\\s*([kKmMbBtTlLcCrR]|Cr|cr|CR)?$', ['g', 'n', 'x']) c,
-regexp_extract(s, '^(-?\\d+(?:\\.\\d+)?)\\s+(?i:(million|billion|thousand|lakh|crore))$', ['n', 'w']) w from x)
-select version_id, round(case when lower(s) in ('', {', '.join(repr(u) for u in X.UNKNOWN)}) then 0.0 when pc is not null then try_cast(pc as double) / 100 when c.n <> '' then try_cast(c.n as double) * coalesce(case when c.g = '₹' then case lower(c.x) when 'l' then 1e5 when 'cr' then 1e7 end end,
+_PARSED = rf"""p as (select *, nullif(regexp_extract(s, '^(-?\d+(?:\.\d+)?)\s*%$', 1), '') pc, regexp_extract(s, '^([₹$€£¥])?\s*(-?\d+(?:\.\d+)?)\s*([kKmMbBtTlLcCrR]|Cr|cr|CR)?$', ['g', 'n', 'x']) c,
+regexp_extract(s, '^(-?\d+(?:\.\d+)?)\s+(?i:(million|billion|thousand|lakh|crore))$', ['n', 'w']) w from x)"""
+_VALUE = f"""round(case when lower(s) in ('', {', '.join(repr(u) for u in X.UNKNOWN)}) then 0.0 when pc is not null then try_cast(pc as double) / 100 when c.n <> '' then try_cast(c.n as double) * coalesce(case when c.g = '₹' then case lower(c.x) when 'l' then 1e5 when 'cr' then 1e7 end end,
 case lower(c.x) when 'k' then 1e3 when 'm' then 1e6 when 'b' then 1e9 end, 1.0) when w.n <> '' then try_cast(w.n as double) * case lower(w.w) when 'thousand' then 1e3 when 'million' then 1e6 when 'billion' then 1e9 when 'lakh' then 1e5 else 1e7 end
 else coalesce(try_cast(s as double), 0.0) end, 6) as numeric_value,
-case when lower(s) in ('', {', '.join(repr(u) for u in X.UNKNOWN)}) then 'UNKNOWN' when pc is not null then 'PERCENTAGE' when c.n <> '' then case when c.g <> '' then 'CURRENCY' else 'NUMERIC' end when w.n <> '' or try_cast(s as double) is not null then 'NUMERIC' else 'UNKNOWN' end as unit from p""")
+case when lower(s) in ('', {', '.join(repr(u) for u in X.UNKNOWN)}) then 'UNKNOWN' when pc is not null then 'PERCENTAGE' when c.n <> '' then case when c.g <> '' then 'CURRENCY' else 'NUMERIC' end when w.n <> '' or try_cast(s as double) is not null then 'NUMERIC' else 'UNKNOWN' end as unit"""
+
+
+@query("fn01_content_metrics", f"with {_LIT}, {_PARSED} select version_id, {_VALUE} from p")
 def fn01_contents(spark, d):
     """The value of each version's content of the form name = value; a content of another form has an unknown one."""
     v = latest_contents(table(spark, d, "node_versions")).select("version_id", X.parse_metric(F.split_part("content", F.lit(" = "), F.lit(2))).alias("m"))
     return v.select("version_id", F.round("m.numeric_value", 6).alias("numeric_value"), F.col("m.unit").alias("unit"))
 
 
-@query("fn01_text_metrics")
+@query("fn01_text_metrics", f"with mm as ({unicode_twin('metric')}), x as (select doc_id, match_no, subject, trim(object) s from mm), {_PARSED} select doc_id, match_no, subject, {_VALUE} from p")
 def fn01_texts(spark, d):
     """The value of each metric that gen02_metrics finds."""
     m = X.matches(table(spark, d, "documents"), "doc_id", "text", "metric").withColumn("m", X.parse_metric(F.col("object")))
