@@ -10,6 +10,9 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataleaf.functions.ids import norm_id
+from strataleaf.operators.hierarchy import hierarchy, latest_nodes
+
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, order: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``stored`` with ``new`` rows in the place of those with their key; of several new rows the one with the
@@ -54,10 +57,15 @@ def delete_documents(docs: DataFrame, nodes: DataFrame, edges: DataFrame, metada
 
 
 def exported(nodes: DataFrame) -> DataFrame:
-    """Each node as a JSON object with its children's ids in order, a row a node: a tree of any size in files."""
-    kids = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.sort_array(F.collect_set("node_id")).alias("children"))
-    j = nodes.join(kids, "node_id", "left")
-    return j.select("doc_id", "node_id", F.to_json(F.struct("node_id", "node_type", "content", F.coalesce("children", F.array().cast("array<string>")).alias("children"))).alias("json"))
+    """Trees as lines: (root_id, node_id, level_no, json), a row a node with its parent, type and content, whatever a tree's or a
+    node's children's number. Of several rows of a node the latest counts; nodes that reach no root are under ``cycle``."""
+    rows = latest_nodes(nodes, "node_id", "parent_id", "node_type", "content")
+    at = hierarchy(rows.select("key", F.col("key").alias("name"), norm_id("parent_id").alias("parent")))
+    at = at.select(F.col("node_id").alias("key"), F.col("root_id").alias("root"), "level_no")
+    roots = rows.select(F.col("key").alias("root"), F.col("node_id").alias("root_id"))
+    j = rows.join(at, "key").join(roots, "root", "left")
+    line = F.to_json(F.struct("node_id", "parent_id", "node_type", "content"))
+    return j.select(F.coalesce("root_id", F.lit("cycle")).alias("root_id"), "node_id", "level_no", line.alias("json"))
 
 
 def write_files(rows: DataFrame, folder: str) -> None:

@@ -35,12 +35,14 @@ select node_id, 'merged' as kind, f as from_us, case when t = 922337203685477580
 union all select node_id, 'gap', b, f from l where b is not null"""
 
 _TREE = """n as (select * from (select *, lower(trim(node_id, ' ')) k, lower(trim(parent_id, ' ')) p, row_number() over
-  (partition by lower(trim(node_id, ' ')) order by ingestion_date desc nulls last, node_id desc, parent_id desc nulls last) rn from apex_ast_nodes) where rn = 1),
+  (partition by lower(trim(node_id, ' ')) order by ingestion_date desc nulls last, node_id desc, parent_id desc nulls last, node_type desc nulls last, content desc nulls last) rn from apex_ast_nodes) where rn = 1),
 l as (select n.k, n.node_id, m.k p from n left join n m on m.k = n.p),
 t as (select k, node_id, node_id root, 0::bigint lv, [node_id] path, [k] ks from l where p is null
   union all select l.k, l.node_id, t.root, t.lv + 1, list_append(t.path, l.node_id), list_append(t.ks, l.k) from l join t on l.p = t.k),
 c as (select u.a, count(*) - 1 n from (select unnest(ks) a from t) u group by 1)"""
 
+TREE = f"with recursive {_TREE} @"
+
 _P5 = f"""with recursive {_TREE}
 select l.node_id, coalesce(t.root, 'cycle') as root_id, coalesce(t.lv, -1) as level_no, coalesce(c.n, -1) as n_desc
 from l left join t on t.k = l.k left join c on c.a = l.k"""

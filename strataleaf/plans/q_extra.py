@@ -14,6 +14,7 @@ from strataleaf.operators import search as R
 from strataleaf.operators import sinks
 from strataleaf.operators.components import components
 from strataleaf.operators.hierarchy import latest_nodes
+from strataleaf.plans import core_sql
 from strataleaf.plans.base import Registry
 from strataleaf.plans.q_facts import _AT, _CHAIN, _CONFLICT, _DELTA, FLAWED90, D90, LEAD, STEPS, T0, T1, _flawed, facts
 from strataleaf.plans.q_graph import _BFS, EMBEDDED, _roots, edges, likeness_sql
@@ -34,9 +35,11 @@ def src14(spark, d):
     return n.select("node_id", (F.col("inner").isNull() & (F.trim("content") != "")).alias("is_leaf")).distinct()
 
 
-@query("snk14_export")
+@query("snk14_export", core_sql.TREE.replace("@", """select coalesce(t.root, 'cycle') as root_id, l.node_id, coalesce(t.lv, -1) as level_no, n.node_type, md5(n.content) as digest from l join n on n.k = l.k left join t on t.k = l.k"""))
 def snk14(spark, d):
-    return sinks.exported(nodes(spark, d))
+    """Trees as lines of JSON, a node each, read again for what they say."""
+    json = lambda f: F.get_json_object("json", f"$.{f}")
+    return sinks.exported(nodes(spark, d)).select("root_id", "node_id", "level_no", json("node_type").alias("node_type"), F.md5(json("content")).alias("digest"))
 
 
 @query("joi07_all_anomalies", f"""{FLAWED90} select kind, count(*) as n from (select kind from ({_CONFLICT}) union all select 'BROKEN_LINK' from (select tenant_id, unnest([parent_fact_id, superseded_by]) target from facts) l
@@ -101,39 +104,6 @@ def fn05(spark, d):
     return v.select("version_id", F.coalesce(micros("t"), F.lit(-1).cast("long")).alias("to_us"), hit.alias("overlaps_before"))
 
 
-_SIB = r"""n as (select node_id, max(parent_id) p, max(content) c, max(embedding) e from apex_ast_nodes where parent_id is not null and len(embedding) = 4 group by 1),
-s as (select a.node_id x, b.node_id y, a.c xc, b.c yc from n a join n b on a.p = b.p and a.node_id < b.node_id where a.c <> b.c and list_cosine_similarity(a.e, b.e) > 0.65)"""
-
-
-def _siblings(spark, d):
-    """Pairs of siblings with like embeddings and different contents; a parent has a few dozen children."""
-    n = nodes(spark, d).filter(F.col("parent_id").isNotNull() & (F.size("embedding") == 4))
-    n = n.groupBy("node_id").agg(F.max("parent_id").alias("p"), F.max("content").alias("c"), F.max("embedding").alias("e"))
-    b = n.select("p", F.col("node_id").alias("y"), F.col("c").alias("yc"), F.col("e").alias("ye"))
-    j = n.select("p", F.col("node_id").alias("x"), F.col("c").alias("xc"), F.col("e").alias("xe")).join(b, "p").filter("x < y and xc <> yc")
-    return j.filter(R.cosine(F.col("xe"), F.col("ye")) > 0.65).select("x", "y", "xc", "yc")
-
-
-@query("fn23_similar_siblings", f"with {_SIB} select x, y from s")
-def fn23(spark, d):
-    return _siblings(spark, d).select("x", "y")
-
-
-@query("grf20_contradicting_siblings", f"with {_SIB} select x, y from s where len(list_intersect(regexp_extract_all(lower(xc), '[a-z]{{4,}}'), regexp_extract_all(lower(yc), '[a-z]{{4,}}'))) > 0 and (" + " or ".join(f"regexp_matches(lower({c}), $r${p}$r$)" for p in X.NEGATIONS for c in ("xc", "yc")) + ")")
-def grf20(spark, d):
-    """Like siblings that share a word of four letters or more, of which one denies something."""
-    s = _siblings(spark, d)
-    long_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0))
-    return s.filter(F.arrays_overlap(long_words("xc"), long_words("yc")) & (X.negated(F.col("xc")) | X.negated(F.col("yc")))).select("x", "y")
-
-
-@query("grf19_sibling_clusters", f"with recursive {_SIB}, u as (select x a, y b from s union select y, x from s), c as (select a, a b from u union select c.a, u.b from c join u on u.a = c.b), l as (select a, min(b) m from c group by 1), z as (select m, count(*) k from l group by 1) select k as n_nodes, count(*) as n_clusters from z group by 1")
-def grf19(spark, d):
-    """Single-linkage clusters of like siblings, by size."""
-    e = _siblings(spark, d).select(F.xxhash64("x").alias("u"), F.xxhash64("y").alias("v"))
-    return components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")).groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_clusters"))
-
-
 _WORDS4 = "[w for w in regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+') if regexp_full_match(w, '[a-z]{{4,}}')]"
 _DENIES = " or ".join(f"coalesce(regexp_matches(lower({c}), $r${p}$r$), false)" for p in X.NEGATIONS for c in ("xc", "yc"))
 _DENIED = f"with {EMBEDDED}, q as (select * from pr where cos > 0.65 and xs <> ys and len(list_intersect({_WORDS4.format('xc')}, {_WORDS4.format('yc')})) > 0 and ({_DENIES}))"

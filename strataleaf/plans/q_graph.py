@@ -79,11 +79,6 @@ def grf06(spark, d):
     return G.cyclic_core(edges(spark, d).select(F.col("s").alias("a"), F.col("t").alias("b")))
 
 
-@query("grf08_self_loops", f"with {_E} select edge_id from e where lower(trim(s, ' ')) = lower(trim(t, ' '))")
-def grf08(spark, d):
-    return edges(spark, d).filter(F.lower(F.trim("s")) == F.lower(F.trim("t"))).select("edge_id").distinct()
-
-
 _SUP = """m as (select lower(trim(node_id, ' ')) k, max(nullif(lower(trim(superseded_by, ' ')), '')) p from apex_temporal_metadata where trim(node_id, ' ') <> '' group by 1), l as (select m.k, x.k p from m left join m x on x.k = m.p),
 t as (select k, k root, 0::bigint lv from l where p is null union all select l.k, t.root, t.lv + 1 from l join t on l.p = t.k)"""
 
@@ -122,25 +117,6 @@ def agg16b(spark, d):
     return j.withColumn("strength", F.round(F.least(0.5 + 0.1 * F.col("n_nodes"), F.lit(1.0)), 6))
 
 
-@query("grf21_overrides", r"""with n as (select node_id, max(parent_id) p, max(source_date) sd, max(content) c from apex_ast_nodes where parent_id is not null and source_date is not null group by 1),
-x as (select *, regexp_matches(lower(c), '\b(?:not|instead|however)\b') neg from n) select a.node_id as newer, b.node_id as older from x a join x b on a.p = b.p and a.sd > b.sd where a.neg""")
-def grf21(spark, d):
-    """Dated siblings of which the newer one denies something: it overrides the older ones."""
-    n = table(spark, d, "apex_ast_nodes").filter("parent_id is not null and source_date is not null")
-    n = n.groupBy("node_id").agg(F.max("parent_id").alias("p"), F.max("source_date").alias("sd"), F.max("content").alias("c"))
-    a = n.filter(F.rlike(F.lower("c"), F.lit(r"\b(?:not|instead|however)\b"))).select("p", F.col("node_id").alias("newer"), F.col("sd").alias("sa"))
-    return a.join(n.select("p", F.col("node_id").alias("older"), "sd"), "p").filter("sa > sd").select("newer", "older")
-
-
-@query("joi14_semantic_neighbours", """with q as (select vec_id qid, embedding::double[] q from embeddings where vec_id % 50 = 0), s as (select qid, vec_id, round(list_cosine_similarity(embedding::double[], q), 6) score from embeddings, q where vec_id <> qid)
-select qid, vec_id, score, position from (select *, row_number() over (partition by qid order by score desc, vec_id) position from s) where position <= 5""")
-def joi14(spark, d):
-    """The five vectors most like each query vector (ids divisible by 50) among all rows, exactly."""
-    e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    return R.nearest(e, q, "vec_id", "embedding", 5, same=False).select("qid", "vec_id", "score", "position")
-
-
 @query("joi14_semantic_links", likeness_sql("cos >= 0.75 and not (coalesce(xp = y, false) or coalesce(yp = x, false) or coalesce(xp = yp, false))"))
 def joi14_all(spark, d):
     """Nodes of a document at cosine 0.75 or more that are neither parent and child nor siblings: each embedded node's class

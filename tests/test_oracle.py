@@ -15,11 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables"
 #: Queries whose patterns have word borders, which the twins' engine reads otherwise: compared with Python's own below.
 KINDS = {"gen04_organizations": "organization", "gen05_people": "person", "gen06_products": "product", "fn16_long_dates": "long_date", "fn17_iso_dates": "iso_date"}
 #: Queries without a twin that have tests of their own, and where.
-ELSEWHERE = {
-    "src02_markdown_nodes": "test_sources", "snk14_export": "test_sources", "str07_rate_limited": "test_streams", "fn16_source_dates": "test_dates", "fn01_text_metrics": "test_whole_metrics",
-    "grf06_cyclic_edges": "test_cycles", "grf07_closes_cycle": "test_cycles", "grf08_nodes_on_cycles": "test_cycles", "joi14_semantic_links": "test_likeness", "fn23_similar_nodes": "test_likeness",
-    "grf19_clusters": "test_likeness", "grf20_contradictions": "test_likeness", "grf21_dated_overrides": "test_likeness", "qry09_coverage": "test_navigation", "qry14_learned_routes": "test_office",
-}
+ELSEWHERE = {"src02_markdown_nodes": "test_sources", "fn16_source_dates": "test_dates", "qry09_coverage": "test_navigation", "qry14_learned_routes": "test_office"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))

@@ -80,7 +80,14 @@ def test_sinks(spark, tmp_path):
     edges = spark.createDataFrame([("a", "z"), ("z", "a")], "source_node_id string, target_node_id string")
     n, e, m = sinks.delete_documents(spark.createDataFrame([("d1",)], "doc_id string"), old, edges, old.select("node_id"))
     assert (n.count(), [tuple(r) for r in e.collect()], m.count()) == (0, [("z", "a")], 0)
-    assert '"children":["b"]' in sinks.exported(old).filter("node_id = 'a'").first().json
+    rows = old.selectExpr("*", "timestamp_seconds(at) ingestion_date")
+    lines = {r.node_id: (r.root_id, r.level_no, r.json) for r in sinks.exported(rows).collect()}
+    assert lines["b"][:2] == ("a", 1) and '"parent_id":"a"' in lines["b"][2] and lines["a"][:2] == ("a", 0)
+    assert sinks.exported(rows.limit(0)).count() == 0
+    sinks.write_files(spark.createDataFrame([("x.md", "é"), ("y.py", None)], "name string, content string"), str(tmp_path / "files"))
+    assert (tmp_path / "files/x.md").read_text() == "é" and (tmp_path / "files/y.py").read_text() == ""
+    once = sinks.insert_new(old.select("node_id"), spark.createDataFrame([("a",), ("q",), ("q",), (None,)], "node_id string"), ["node_id"])
+    assert sorted(r[0] or "" for r in once.collect()) == ["", "a", "b", "q"]
 
 
 def test_metric_literals(spark):
