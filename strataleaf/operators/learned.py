@@ -46,7 +46,7 @@ def fit(rows: DataFrame, labels: list[str], most: int = MOST_ROWS) -> np.ndarray
     past = np.full_like(weights, 1e-8)
     for _ in range(STEPS):
         error = 1 / (1 + np.exp(-np.clip(_scores(weights, row, place, n), -30, 30))) - wanted
-        slope = np.stack([np.append(np.bincount(place, e[row], FEATURES), e.sum()) for e in error]) / n + 1e-6 * weights
+        slope = np.stack([np.append(np.bincount(place, e[row], FEATURES), e.sum()) for e in error]) / n + 3e-3 * weights
         past += slope * slope
         weights -= 0.5 * slope / np.sqrt(past)
     return weights
