@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataleaf.session import spread
+
 _MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 _FORM = "Corporation|Corp|Inc|LLC|Ltd|PLC|GmbH|SA|NV|AG|Co|Group"
 # What the extractors look for, by kind: pattern, and the groups of subject and object.
@@ -69,7 +71,7 @@ def all_facts(rows: DataFrame, key: str, text: str, kinds: tuple[str, ...] = tup
             found = [pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *found], names=[key, *arrow.names])
 
-    out = rows.select(key, text).mapInArrow(run, schema)
+    out = spread(rows.select(key, text)).mapInArrow(run, schema)
     return out.withColumn("fact_id", F.sha2(F.concat_ws("|", F.col(key).cast("string"), "kind", F.col("match_no").cast("string"), "subject", "object"), 256))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Days of a cell, children of a block and levels of blocks: together 179 years from 1900 on; what lies outside falls into the first or last cell.
-CELL_DAYS, FAN, LEVELS, FIRST_DAY = 2, 8, 6, -25567
+#: Days of a cell, children of a block and levels of blocks: together 358 years from 1900 on; what lies outside falls into the first or last cell.
+CELL_DAYS, FAN, LEVELS, FIRST_DAY = 32, 8, 5, -25567
 
 
 def _cell(at: Column) -> Column:

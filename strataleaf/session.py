@@ -76,6 +76,13 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as the session runs tasks, if it has fewer: for work in Python over a table in few files. A table of many
+    files isn't moved."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def drop(*tables: DataFrame | str) -> None:
     """Remove stored tables that nothing reads any more, through the file system they are in."""
     for t in tables:
