@@ -307,11 +307,19 @@ def without_leaks(
     rows = materialise(rows, "texts")
 
     def one(finder) -> DataFrame:
+        def spans_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["row", "a", "z", "lo", "hi", "words"])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
             for row, seq, ends, index in _streamed(finder.value, size, batches, True):
-                out = [(row, index + a, index + z, ends[a][0], ends[z - 1][1], 0) for a, z in finder.value.found(seq)[1]]
+                out += [(row, index + a, index + z, ends[a][0], ends[z - 1][1], 0) for a, z in finder.value.found(seq)[1]]
                 out.append((row, None, None, None, None, index + len(seq)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["row", "a", "z", "lo", "hi", "words"])
+                if len(out) > 10_000:
+                    yield spans_of(out)
+                    out = []
+            if out:
+                yield spans_of(out)
 
         return _over(rows.filter("text is not null"), "row", finder, size).mapInArrow(run, "row long, a long, z long, lo long, hi long, words long")
 
