@@ -237,18 +237,21 @@ def _finders(items: DataFrame, least: int, pass_words: int, shard_words: int) ->
 def _streamed(finder: LeakFinder, size: int, batches: Iterator[pa.RecordBatch], places: bool = False) -> Iterator[tuple]:
     """(row, numbers, places, index) for each range (row, no, n_ranges, ended, raw): its words after the last few of the range before,
     their places as bytes of the text, and the first's index among the text's words. Ranges of a text follow each other."""
-    seq, ends, index = np.empty(0, np.int64), [], 0
+    seq, ends, index = np.empty(0, np.int64), np.empty((0, 2), np.int64), 0
     for b in batches:
         for row, no, raw in zip(*(b.column(c).to_pylist() for c in ("row", "no", "raw")), strict=True):
             before, own, halo, at = decoded(raw, no, size)
             new, spans = finder.numbered(own, halo, before)
-            if places:
-                width = np.array([len(c.encode("utf-8", "replace")) for c in own + halo], np.int64)
-                byte = at + np.concatenate([[0], np.cumsum(width)])
-                spans = [(int(byte[x]), int(byte[y])) for x, y in spans]
             keep = max(len(seq) - finder.least + 1, 0) if no else len(seq)
+            if places:
+                own_ends = np.array(spans, np.int64).reshape(-1, 2)
+                if not (own.isascii() and halo.isascii()):
+                    code = np.frombuffer((own + halo).encode("utf-32-le"), np.uint32)
+                    width = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+                    own_ends = np.concatenate([[0], np.cumsum(width)])[own_ends]
+                ends = np.concatenate([ends[keep:], own_ends + at])
             index = index + keep if no else 0
-            seq, ends = np.concatenate([seq[keep:], new]), ends[keep:] + spans
+            seq = np.concatenate([seq[keep:], new])
             yield row, seq, ends, index
 
 
@@ -313,7 +316,7 @@ def without_leaks(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for row, seq, ends, index in _streamed(finder.value, size, batches, True):
-                out += [(row, index + a, index + z, ends[a][0], ends[z - 1][1], 0) for a, z in finder.value.found(seq)[1]]
+                out += [(row, index + a, index + z, int(ends[a, 0]), int(ends[z - 1, 1]), 0) for a, z in finder.value.found(seq)[1]]
                 out.append((row, None, None, None, None, index + len(seq)))
                 if len(out) > 10_000:
                     yield spans_of(out)
