@@ -310,19 +310,26 @@ def without_leaks(
     rows = materialise(rows, "texts")
 
     def one(finder) -> DataFrame:
-        def spans_of(out: list[tuple]) -> pa.RecordBatch:
+        def spans_of(held: list[tuple]) -> pa.RecordBatch:
+            starts = np.cumsum([0, *[len(h[1]) + 1 for h in held]])
+            out = [(row, None, None, None, None, index + len(seq)) for row, seq, _, index in held]
+            for a, z in finder.value.found(np.concatenate([np.append(h[1], -1) for h in held]))[1]:
+                k = int(np.searchsorted(starts, a, side="right")) - 1
+                row, _, ends, index = held[k]
+                a, z = a - int(starts[k]), z - int(starts[k])
+                out.append((row, index + a, index + z, int(ends[a, 0]), int(ends[z - 1, 1]), 0))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["row", "a", "z", "lo", "hi", "words"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out: list[tuple] = []
-            for row, seq, ends, index in _streamed(finder.value, size, batches, True):
-                out += [(row, index + a, index + z, int(ends[a, 0]), int(ends[z - 1, 1]), 0) for a, z in finder.value.found(seq)[1]]
-                out.append((row, None, None, None, None, index + len(seq)))
-                if len(out) > 10_000:
-                    yield spans_of(out)
-                    out = []
-            if out:
-                yield spans_of(out)
+            held, n = [], 0
+            for part in _streamed(finder.value, size, batches, True):
+                held.append(part)
+                n += len(part[1])
+                if n > BATCH_WORDS:
+                    yield spans_of(held)
+                    held, n = [], 0
+            if held:
+                yield spans_of(held)
 
         return _over(rows.filter("text is not null"), "row", finder, size).mapInArrow(run, "row long, a long, z long, lo long, hi long, words long")
 
